@@ -1,0 +1 @@
+"""feloom: feature engineering and scoring on plain PySpark."""
