@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from .common import cut, drop
 
 
-def _state(edges: DataFrame) -> tuple:
-    """What tells two edge sets apart: row count and two order-free sums."""
-    h = F.xxhash64("u", "v")
-    row = edges.agg(F.count("*"), F.sum(h.bitwiseAND((1 << 30) - 1)), F.sum(F.shiftrightunsigned(h, 34))).first()
-    return tuple(row)
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node that has no other edge to one that has no smaller neighbour."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out")).unionAll(edges.select(F.col("v").alias("x"), F.lit(0).alias("out")))
+    seen = ends.groupBy("x").agg(F.sum("out").alias("outs"), F.min("out").alias("low"))
+    return seen.where("outs > 1 or (outs = 1 and low = 0)").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,18 +38,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """``(node, component)`` for the nodes of ``edges``; the component is its smallest node.
 
-    Alternates large-star and small-star steps until nothing changes, a number of
+    Alternates large-star and small-star steps until only stars are left, a number of
     rounds logarithmic in the length of chains. Each round is a table of its own,
     so a lost executor costs one round. Self loops and repeated edges are allowed.
     """
-    now = cut(edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v").distinct(), "edges")
-    state = _state(now)
-    while state[0]:
+    now = cut(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct(), "edges")
+    while not _is_stars(now):
         after = cut(_small_star(_large_star(now)), "edges")
         drop(now)
-        now, before, state = after, state, _state(after)
-        if state == before:
-            break
+        now = after
     inner = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return inner.unionAll(roots)
@@ -71,6 +68,13 @@ def open_buckets(buckets: DataFrame, components: DataFrame) -> DataFrame:
     return named.join(mixed, "key")
 
 
+def crossing_work(members: DataFrame) -> int:
+    """How many pairs of open buckets lie in different components."""
+    parts = members.groupBy("key", "component").count()
+    by_key = parts.groupBy("key").agg(F.sum("count").alias("g"), F.sum(F.col("count").cast("double") * F.col("count")).alias("own"))
+    return int(by_key.agg(F.sum(F.col("g").cast("double") * F.col("g") - F.col("own"))).first()[0] or 0)
+
+
 def reseeded_pairs(members: DataFrame, seed: int) -> DataFrame:
     """Each member of an open bucket with one of another component, drawn anew by ``seed``."""
     draw = F.min_by("id", F.xxhash64("id", "key", F.lit(seed)))
@@ -84,9 +88,32 @@ def crossing_pairs(members: DataFrame, facts: DataFrame, possible) -> DataFrame:
 
     ``facts`` holds by ``id`` what ``possible`` reads as columns of the aliases
     ``l`` and ``r``; it is part of the join condition, so that hopeless pairs
-    are never made into rows.
+    are never made into rows. A pair that shares several buckets is made only in
+    the one with the smallest key.
     """
-    full = members.join(facts, "id")
-    condition = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")) & possible("l", "r")
+    keys = members.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    full = members.join(keys, "id").join(facts, "id").withColumn("earlier", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
+    first = ~F.arrays_overlap("l.earlier", "r.earlier")
+    condition = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")) & possible("l", "r") & first
     met = full.alias("l").join(full.alias("r"), condition)
-    return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+    return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
+
+
+#: Buckets of a bitmap of ids, a power of two; as a table it has at most BITMAP / 64 rows.
+BITMAP = 1 << 22
+
+
+def only_listed(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Rows that may have one of the listed ids, before a shuffle: all that have one, and some others.
+
+    The bitmap is broadcast; its size does not depend on the data. The more ids
+    there are, the less it keeps out, and the join that follows decides.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(BITMAP))
+    bit = lambda c: (bucket(c) % 64).cast("int")
+    word = lambda c: F.floor(bucket(c) / 64).cast("int")
+    marks = ids.select(word(name).alias("_fl_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(name)).alias("_fl_mark"))
+    bitmap = marks.groupBy("_fl_word").agg(F.bit_or("_fl_mark").alias("_fl_bits"))
+    met = rows.withColumn("_fl_word", word(name)).join(F.broadcast(bitmap), "_fl_word")
+    set_ = F.call_function("shiftrightunsigned", F.col("_fl_bits"), bit(name)).bitwiseAND(F.lit(1)) == 1
+    return met.where(set_).drop("_fl_word", "_fl_bits")

@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .graph import connected_components, crossing_pairs, open_buckets, reseeded_pairs, star_pairs
+from .graph import connected_components, crossing_pairs, crossing_work, only_listed, open_buckets, reseeded_pairs, star_pairs
 
 SHINGLE_CHARS = 12
 SKETCH = 8
 PERCENT = 80
 #: See near_dedup: passes with new partners while open buckets are large.
-CROSSING_WORK = 4_000_000
-RESEEDS = 4
+CROSSING_WORK = 100_000_000
+RESEEDS = 3
 _SHINGLES = rf"(?s)(?:^| )(?=([^ ].{{0,{SHINGLE_CHARS - 1}}}))"
 _SPACE_CHARS = "\t\x0b\x0c\r"
 
@@ -62,7 +62,7 @@ def buckets_of(lines: DataFrame) -> DataFrame:
 
 def _whole_sets(lines: DataFrame, ids: DataFrame) -> DataFrame:
     """``id, shingles`` of the asked lines."""
-    found = lines.join(ids.withColumnRenamed("id", "line"), "line").groupBy("line").agg(F.min("norm").alias("norm"))
+    found = only_listed(lines, ids.withColumnRenamed("id", "line"), "line").join(ids.withColumnRenamed("id", "line"), "line").groupBy("line").agg(F.min("norm").alias("norm"))
     return found.select(F.col("line").alias("id"), shingle_hashes(F.col("norm")).alias("shingles"))
 
 
@@ -88,7 +88,7 @@ def line_groups(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     turn = 0
     while True:
         members = cut(open_buckets(buckets, groups), "open-lines")
-        work = members.groupBy("key").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+        work = crossing_work(members)
         if not work:
             break
         complete = work <= CROSSING_WORK or turn >= RESEEDS or found is None

@@ -12,7 +12,7 @@ the full sets. Confirmed links are joined to components.
 Buckets are searched without forming all pairs: each member is compared with
 its bucket's smallest member, then again with members drawn anew while that
 joins components. Buckets that hold several components in the end are searched
-completely, by a join whose condition reads 256 one-bit registers, so only
+completely, by a join whose condition reads four bits of each register, so only
 pairs that may be links become rows.
 
 Candidate recall: two sets of similarity J share a band with probability
@@ -29,17 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow
-from .graph import connected_components, crossing_pairs, open_buckets, reseeded_pairs, star_pairs
+from .graph import connected_components, crossing_pairs, crossing_work, only_listed, open_buckets, reseeded_pairs, star_pairs
 from .textarrays import mix, pieces, shingle_sets
 
 BUCKETS, ROWS, MANTISSA = 256, 8, 10
 SHINGLE = 5
 #: Estimates below the threshold by more than this many standard errors are discarded.
-SIGMAS = 6.0
-#: While the squares of the open buckets' sizes sum to more than this, at most RESEEDS
-#: passes draw new partners and join components first; the complete search follows in any case.
-CROSSING_WORK = 4_000_000
-RESEEDS = 4
+SIGMAS = 4.0
+#: While more pairs than this are left to look at, at most RESEEDS passes draw new partners
+#: and join components first; the complete search follows in any case.
+CROSSING_WORK = 100_000_000
+RESEEDS = 3
 
 
 def registers(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -145,16 +145,37 @@ def banded(classes: DataFrame) -> DataFrame:
     return map_arrow(classes.select("id", "regs"), run, "key long, id long")
 
 
-def one_bit(classes: DataFrame) -> DataFrame:
-    """``id, n_shingles, x0..x3``: the lowest bit of each register, packed."""
+WORDS = BUCKETS // 16
+
+
+def differ_limit(n: np.ndarray, percent: int) -> np.ndarray:
+    """Differing registers that a pair at the threshold hardly exceeds, by set size.
+
+    Of the registers in use, those that differ are a sample without replacement
+    of the elements that differ; the limit lies SIGMAS standard errors above.
+    """
+    q = 1 - percent / 100
+    union = 2 * np.maximum(1, n) / (1 + percent / 100)
+    used = BUCKETS * (1 - (1 - 1 / BUCKETS) ** union)
+    error = np.sqrt(used * q * (1 - q) * np.maximum(0, union - used) / np.maximum(1, union - 1))
+    return np.ceil(q * used + SIGMAS * error + 2).astype(np.int64)
+
+
+def compact(classes: DataFrame, percent: int) -> DataFrame:
+    """``id, n_shingles, most, x0..``: :func:`differ_limit` and four bits of each register, 16 to a long."""
+    names = ["id", "n_shingles", "most", *(f"x{i}" for i in range(WORDS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                bits = np.packbits((_regs(batch.column(2)) & 1).astype(bool), axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4))], ["id", "n_shingles", "x0", "x1", "x2", "x3"])
+                regs = _regs(batch.column(2))
+                four = np.where(regs > 0, 1 + regs % 15, 0).astype(np.uint8)
+                packed = (four[:, 0::2] | four[:, 1::2] << 4).view(np.int64)
+                most = pa.array(differ_limit(batch.column(1).to_numpy(), percent))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), most, *(pa.array(np.ascontiguousarray(packed[:, i])) for i in range(WORDS))], names)
 
-    return map_arrow(classes.select("id", "n_shingles", "regs"), run, "id long, n_shingles long, x0 long, x1 long, x2 long, x3 long")
+    made = map_arrow(classes.select("id", "n_shingles", "regs"), run, ", ".join(f"{n} long" for n in names))
+    return made.where(" and ".join(f"{n} is not null" for n in names))
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -174,7 +195,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``id, shingles``: the whole sorted set of each class that occurs in ``pairs``."""
     ids = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct().join(classes.select("id", "f1", "f2"), "id"), "asked")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id").select("id", "f1", "f2", "text")
+    candidates = only_listed(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, "id")
+    texts = candidates.join(ids.hint("merge"), "id").select("id", "f1", "f2", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,12 +261,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     found, turn = edges, 0
     while True:
         members = cut(open_buckets(buckets, groups), "open")
-        work = members.groupBy("key").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+        work = crossing_work(members)
         if not work:
             break
         complete = work <= CROSSING_WORK or turn >= RESEEDS or not found
         if complete:
-            fresh = crossing_pairs(members, one_bit(classes), lambda l, r: _possible(l, r, percent))
+            fresh = crossing_pairs(members, compact(classes, percent), lambda l, r: _possible(l, r, percent))
         else:
             fresh = reseeded_pairs(members, turn)
         fresh = cut(fresh.join(tried, ["a", "b"], "left_anti"), "fresh")
@@ -265,14 +287,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return result.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _possible(l: str, r: str, percent: int):
-    """What sizes and one-bit registers allow for a link, as a join condition."""
-    near = 100 * F.least(f"{l}.n_shingles", f"{r}.n_shingles") >= percent * F.greatest(f"{l}.n_shingles", f"{r}.n_shingles")
-    apart = sum(F.bit_count(F.col(f"{l}.x{i}").bitwiseXOR(F.col(f"{r}.x{i}"))) for i in range(4))
-    return near & (apart <= one_bit_limit(percent))
+def _lanes(x):
+    """How many of the 16 four-bit lanes of a long are not 0."""
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
 
-def one_bit_limit(percent: int) -> int:
-    """Differing one-bit registers that a pair at the threshold exceeds with a chance below 1e-8."""
-    p = (1 - percent / 100) / 2
-    return int(np.ceil(BUCKETS * p + SIGMAS * np.sqrt(BUCKETS * p * (1 - p)))) + 1
+def _possible(l: str, r: str, percent: int):
+    """What sizes and compact registers allow for a link, as a join condition."""
+    na, nb = F.col(f"{l}.n_shingles"), F.col(f"{r}.n_shingles")
+    near = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    differ = sum(_lanes(F.col(f"{l}.x{i}").bitwiseXOR(F.col(f"{r}.x{i}"))) for i in range(WORDS))
+    return near & (differ <= F.greatest(F.col(f"{l}.most"), F.col(f"{r}.most")))
