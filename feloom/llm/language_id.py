@@ -46,13 +46,15 @@ _SILENT[[b for b in range(128) if not chr(b).isalpha() and chr(b) not in " \n"]]
 
 
 def trigrams(texts: Texts) -> np.ndarray:
-    """A bucket for the trigram that starts at each byte; BUCKETS if the text ends before or a byte is silent."""
+    """A bucket for the trigram that starts at each byte; BUCKETS if the text ends before, a byte is silent or all are spaces."""
     d = LOWER[texts.data].astype(np.uint32)
     codes = np.full(len(d), BUCKETS, np.int64)
     if len(d) > 2:
         silent = _SILENT[texts.data]
         made = (((d[:-2] << 16) | (d[1:-1] << 8) | d[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(16)
-        codes[:-2] = np.where(silent[:-2] | silent[1:-1] | silent[2:], BUCKETS, made)
+        space = texts.data <= 32
+        useless = silent[:-2] | silent[1:-1] | silent[2:] | (space[:-2] & space[1:-1] & space[2:])
+        codes[:-2] = np.where(useless, BUCKETS, made)
     for back in (1, 2):
         ends = texts.limits[1:] - back
         codes[ends[ends >= 0]] = BUCKETS

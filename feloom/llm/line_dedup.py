@@ -13,7 +13,7 @@ stays, the one that comes first by ``doc_id`` and place.
 Equal lines are one node from the start, so copies of any number cost one row
 each. Buckets are searched like those of near-duplicate documents: smallest
 member first, newly drawn members while that joins components, then all pairs
-of different components whose sizes allow a link.
+of different components whose sizes and bitmaps allow a link.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 from .graph import connected_components, crossing_pairs, crossing_work, only_listed, open_buckets, reseeded_pairs, star_pairs
 
 SHINGLE_CHARS = 12
@@ -74,7 +74,27 @@ def verified_links(lines: DataFrame, pairs: DataFrame, percent: int) -> DataFram
     both = pairs.join(a, "a").join(b, "b")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
-    return cut(both.where(100 * common >= percent * union).select("a", "b").distinct(), "line-links")
+    linked = cut(both.where(100 * common >= percent * union).select("a", "b").distinct(), "line-links")
+    drop(sets)
+    return linked
+
+
+def set_bits(sets: DataFrame) -> DataFrame:
+    """``id, n, x0..x3``: set size and a bitmap of 256 bits, one for each hash of the set (hashes may share one)."""
+
+    def word(i: int):
+        mark = lambda h: F.when(F.shiftright(h, 6).bitwiseAND(F.lit(3)) == i, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
+        return F.aggregate("shingles", F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(mark(h)))
+
+    return sets.select("id", F.size("shingles").alias("n"), *[word(i).alias(f"x{i}") for i in range(4)])
+
+
+def _possible(l: str, r: str, percent: int):
+    """Whether sizes and bitmaps allow a link. A differing bit needs a differing hash, so no link is lost."""
+    na, nb = F.col(f"{l}.n"), F.col(f"{r}.n")
+    near = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    differ = sum(F.bit_count(F.col(f"{l}.x{i}").bitwiseXOR(F.col(f"{r}.x{i}"))) for i in range(4))
+    return near & ((100 + percent) * differ <= (100 - percent) * (na + nb))
 
 
 def line_groups(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -82,6 +102,7 @@ def line_groups(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     bands = cut(buckets_of(lines), "line-bands")
     shared = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     buckets = cut(bands.join(shared, "key").distinct(), "line-buckets")
+    drop(bands)
     tried = cut(star_pairs(buckets), "line-pairs")
     found = verified_links(lines, tried, percent)
     groups = cut(connected_components(found, "a", "b"), "line-groups")
@@ -93,9 +114,8 @@ def line_groups(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
             break
         complete = work <= CROSSING_WORK or turn >= RESEEDS or found is None
         if complete:
-            sizes = _whole_sets(lines, members.select("id").distinct()).select("id", F.size("shingles").alias("n"))
-            close = lambda l, r: 100 * F.least(f"{l}.n", f"{r}.n") >= percent * F.greatest(f"{l}.n", f"{r}.n")
-            fresh = crossing_pairs(members, sizes, close)
+            facts = set_bits(_whole_sets(lines, members.select("id").distinct()))
+            fresh = crossing_pairs(members, facts, lambda l, r: _possible(l, r, percent))
         else:
             fresh = reseeded_pairs(members, turn)
         fresh = cut(fresh.join(tried, ["a", "b"], "left_anti"), "new-line-pairs")
