@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow
+from .common import cut, drop, map_arrow
 from .graph import connected_components, crossing_pairs, crossing_work, only_listed, open_buckets, reseeded_pairs, star_pairs
 from .textarrays import mix, pieces, shingle_sets
 
@@ -251,9 +251,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     buckets = cut(buckets.join(shared, "key"), "bands")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        likely = cut(_likely(pairs, classes, percent), "likely")
-        return cut(_confirmed(likely, cut(_full_sets(docs, classes, likely), "sets"), percent), "links")
+    def links(pairs: DataFrame, estimated: bool = False) -> DataFrame:
+        likely = pairs if estimated else cut(_likely(pairs, classes, percent), "likely")
+        sets = cut(_full_sets(docs, classes, likely), "sets")
+        confirmed = cut(_confirmed(likely, sets, percent), "links")
+        drop(sets)
+        return confirmed
 
     tried = cut(star_pairs(buckets), "tried")
     edges = links(tried)
@@ -270,7 +273,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         else:
             fresh = reseeded_pairs(members, turn)
         fresh = cut(fresh.join(tried, ["a", "b"], "left_anti"), "fresh")
-        found = None if fresh.isEmpty() else links(fresh)
+        found = None if fresh.isEmpty() else links(fresh, estimated=complete)
         if found is not None and found.isEmpty():
             found = None
         if found is not None:
