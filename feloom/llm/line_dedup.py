@@ -18,7 +18,7 @@ of different components whose sizes and bitmaps allow a link.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop
@@ -30,53 +30,52 @@ PERCENT = 80
 #: See near_dedup: passes with new partners while open buckets are large.
 CROSSING_WORK = 100_000_000
 RESEEDS = 3
-_SHINGLES = rf"(?s)(?:^| )(?=([^ ].{{0,{SHINGLE_CHARS - 1}}}))"
-_SPACE_CHARS = "\t\x0b\x0c\r"
+SPACES = " \t\x0b\x0c\r"
+_SPACE = r" \t\x0b\x0c\r"
+_SHINGLES = rf"(?s)(?:^|[{_SPACE}])(?=([^{_SPACE}].{{0,{SHINGLE_CHARS - 1}}}))"
 
 
 def normal_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, place, _fl_text (hash of the text), norm, line``: the lines with a word; ``line`` is the hash of ``norm``."""
+    """``doc_id, _fl_text (hash of the text), place, norm, line``: the lines with a word; ``line`` is the hash of ``norm``."""
     text = F.coalesce("text", F.lit(""))
-    plain = F.translate(F.lower(text), _SPACE_CHARS, " " * len(_SPACE_CHARS))
-    lines = docs.select("doc_id", F.xxhash64(text).alias("_fl_text"), F.posexplode(F.split(plain, "\n")).alias("place", "norm"))
-    return lines.withColumn("norm", F.trim("norm")).where("norm <> ''").withColumn("line", F.xxhash64("norm"))
+    lines = docs.select("doc_id", F.xxhash64(text).alias("_fl_text"), F.posexplode(F.split(F.lower(text), "\n")).alias("place", "norm"))
+    return lines.withColumn("norm", F.trim("norm", F.lit(SPACES))).where("norm <> ''").withColumn("line", F.xxhash64("norm"))
 
 
-def shingle_hashes(norm) -> F.Column:
+def shingle_hashes(norm) -> Column:
     """The distinct shingle hashes of a normal line."""
     return F.array_distinct(F.transform(F.regexp_extract_all(norm, F.lit(_SHINGLES), F.lit(1)), lambda s: F.xxhash64(s)))
 
 
-def band_keys(hashes) -> F.Column:
+def band_keys(hashes) -> Column:
     """Hashes of neighbours in the sketch; a set of one hash has that as its band."""
     sketch = F.slice(F.sort_array(hashes), 1, SKETCH)
-    pairs = F.zip_with(F.slice(sketch, 1, F.greatest(F.size(sketch) - 1, F.lit(1))), F.slice(sketch, 2, SKETCH), lambda a, b: F.xxhash64(a, b))
-    return pairs
+    neighbours = lambda s: F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(1))), F.slice(s, 2, SKETCH), lambda a, b: F.xxhash64(a, b))
+    # the array of one makes Spark compute the sketch once
+    return F.get(F.transform(F.array(sketch), neighbours), 0)
 
 
-def buckets_of(lines: DataFrame) -> DataFrame:
-    """``key, id`` for each band of each line, without repeats that one task sees."""
-    keyed = lines.select("norm", F.col("line").alias("id")).select("id", band_keys(shingle_hashes(F.col("norm"))).alias("keys"))
-    return keyed.select(F.explode("keys").alias("key"), "id")
+def keyed_lines(docs: DataFrame) -> DataFrame:
+    """The lines as a narrow table, ``doc_id, _fl_text, place, line, keys``: the one pass that makes shingles of all."""
+    lines = normal_lines(docs)
+    return cut(lines.select("doc_id", "_fl_text", "place", "line", band_keys(shingle_hashes(F.col("norm"))).alias("keys")), "lines")
 
 
-def _whole_sets(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, shingles`` of the asked lines."""
-    found = only_listed(lines, ids.withColumnRenamed("id", "line"), "line").join(ids.withColumnRenamed("id", "line"), "line").groupBy("line").agg(F.min("norm").alias("norm"))
-    return found.select(F.col("line").alias("id"), shingle_hashes(F.col("norm")).alias("shingles"))
+def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, n, shingles`` of the asked lines."""
+    asked = ids.withColumnRenamed("id", "line")
+    lines = normal_lines(docs).select("line", "norm")
+    found = only_listed(lines, asked, "line").join(asked.hint("merge"), "line").groupBy("line").agg(F.min("norm").alias("norm"))
+    sets = found.select(F.col("line").alias("id"), shingle_hashes(F.col("norm")).alias("shingles"))
+    return sets.select("id", F.size("shingles").alias("n"), "shingles")
 
 
-def verified_links(lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def verified_links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose exact similarity reaches ``percent``."""
-    asked = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "asked-lines")
-    sets = cut(_whole_sets(lines, asked), "line-sets")
-    a, b = (sets.select(F.col("id").alias(s), F.col("shingles").alias(f"s{s}")) for s in "ab")
-    both = pairs.join(a, "a").join(b, "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - common
-    linked = cut(both.where(100 * common >= percent * union).select("a", "b").distinct(), "line-links")
-    drop(sets)
-    return linked
+    a, b = (sets.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("shingles").alias(f"s{s}")) for s in "ab")
+    both = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    linked = (100 + percent) * F.size(F.array_intersect("sa", "sb")) >= percent * (F.col("na") + F.col("nb"))
+    return cut(both.where(linked).select("a", "b").distinct(), "line-links")
 
 
 def set_bits(sets: DataFrame) -> DataFrame:
@@ -86,7 +85,7 @@ def set_bits(sets: DataFrame) -> DataFrame:
         mark = lambda h: F.when(F.shiftright(h, 6).bitwiseAND(F.lit(3)) == i, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
         return F.aggregate("shingles", F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(mark(h)))
 
-    return sets.select("id", F.size("shingles").alias("n"), *[word(i).alias(f"x{i}") for i in range(4)])
+    return sets.select("id", "n", *[word(i).alias(f"x{i}") for i in range(4)])
 
 
 def _possible(l: str, r: str, percent: int):
@@ -97,14 +96,16 @@ def _possible(l: str, r: str, percent: int):
     return near & ((100 + percent) * differ <= (100 - percent) * (na + nb))
 
 
-def line_groups(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
+def line_groups(docs: DataFrame, keyed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``node, component`` for the lines that are linked with another text; nodes are line hashes."""
-    bands = cut(buckets_of(lines), "line-bands")
+    bands = keyed.select(F.explode("keys").alias("key"), F.col("line").alias("id"))
     shared = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    buckets = cut(bands.join(shared, "key").distinct(), "line-buckets")
-    drop(bands)
+    shared = cut(shared, "shared-bands")
+    buckets = cut(only_listed(bands, shared, "key").join(shared, "key").distinct(), "line-buckets")
+    drop(shared)
+    sets = cut(whole_sets(docs, cut(buckets.select("id").distinct(), "asked-lines")), "line-sets")
     tried = cut(star_pairs(buckets), "line-pairs")
-    found = verified_links(lines, tried, percent)
+    found = verified_links(sets, tried, percent)
     groups = cut(connected_components(found, "a", "b"), "line-groups")
     turn = 0
     while True:
@@ -114,12 +115,12 @@ def line_groups(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
             break
         complete = work <= CROSSING_WORK or turn >= RESEEDS or found is None
         if complete:
-            facts = set_bits(_whole_sets(lines, members.select("id").distinct()))
+            facts = set_bits(sets.join(members.select("id").distinct(), "id", "left_semi"))
             fresh = crossing_pairs(members, facts, lambda l, r: _possible(l, r, percent))
         else:
             fresh = reseeded_pairs(members, turn)
         fresh = cut(fresh.join(tried, ["a", "b"], "left_anti"), "new-line-pairs")
-        found = None if fresh.isEmpty() else verified_links(lines, fresh, percent)
+        found = None if fresh.isEmpty() else verified_links(sets, fresh, percent)
         if found is not None and found.isEmpty():
             found = None
         if found is not None:
@@ -129,19 +130,20 @@ def line_groups(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
             break
         tried = tried.unionAll(fresh)
         turn += 1
+    drop(sets)
     return groups
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, _fl_text, removed``: places (from 0) of the lines of each row that go, only rows that lose one."""
-    lines = normal_lines(docs)
-    groups = line_groups(lines, percent)
-    owners = lines.groupBy("line").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
+    keyed = keyed_lines(docs)
+    groups = line_groups(docs, keyed, percent)
+    owners = keyed.groupBy("line").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
     named = owners.join(groups.withColumnRenamed("node", "line"), "line", "left").where("n > 1 or component is not null")
     named = cut(named.select("line", F.coalesce("component", "line").alias("component"), "owner"), "repeated")
     keepers = named.groupBy("component").agg(F.min("owner").alias("keeper"))
     verdict = cut(named.join(keepers, "component").select("line", "component", "keeper"), "verdicts")
-    hit = lines.select("doc_id", "_fl_text", "place", "line").join(verdict, "line")
+    hit = keyed.select("doc_id", "_fl_text", "place", "line").join(verdict, "line")
     by_group = hit.groupBy("doc_id", "_fl_text", "component", "keeper").agg(F.min("place").alias("first"), F.collect_list("place").alias("places"))
     own = F.col("doc_id").eqNullSafe(F.col("keeper"))
     gone = F.when(own, F.array_except("places", F.array("first"))).otherwise(F.col("places"))
@@ -167,7 +169,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     split = F.split("text", "\n")
     stay = F.filter(F.transform(split, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("removed", s["i"]))
     kept = F.transform(stay, lambda s: s["x"])
-    worded = F.exists(kept, lambda x: F.length(F.trim(F.translate(x, _SPACE_CHARS, " " * len(_SPACE_CHARS)))) > 0)
+    worded = F.exists(kept, lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0)
     text = F.when(F.col("removed").isNull(), F.col("text")).when(worded, F.array_join(kept, "\n")).otherwise(F.lit(""))
     counts = {"n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("removed"), F.lit(0)).cast("long")}
     return met.withColumns(counts).withColumn("text", text).drop("removed", "_fl_text", "_fl_id", "_fl_of")

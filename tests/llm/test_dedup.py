@@ -122,11 +122,11 @@ def test_components(spark):
 
 
 def normal(line):
-    return line.lower().translate(str.maketrans("\t\x0b\x0c\r", "    ")).strip(" ")
+    return line.lower().strip(" \t\x0b\x0c\r")
 
 
 def line_shingles(line):
-    return frozenset(m[1] for m in re.finditer(r"(?s)(?:^| )(?=([^ ].{0,11}))", line))
+    return frozenset(m[1] for m in re.finditer(r"(?s)(?:^|[ \t\x0b\x0c\r])(?=([^ \t\x0b\x0c\r].{0,11}))", line))
 
 
 def expected_lines(texts):
