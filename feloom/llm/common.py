@@ -74,3 +74,15 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     if root not in have:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
     return df.mapInArrow(function, schema)
+
+
+def bounded_sample(rows: DataFrame, n: int, keys: list[str], most: int) -> DataFrame:
+    """At most ``most`` of ``n`` rows, those with the smallest hashes of ``keys``.
+
+    A threshold on the hash, half as high again as needed, is applied first: what
+    all tasks together send to the driver is then bounded too, not only what each sends.
+    """
+    scale = 1 << 40
+    share = min(1.0, (1.5 * most + 100) / max(1, n))
+    place = F.pmod(F.xxhash64(*keys), F.lit(scale))
+    return rows.where(place <= int(share * scale)).orderBy(place, *keys).limit(most)

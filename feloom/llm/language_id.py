@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow
+from .common import bounded_sample, cut, map_arrow
 from .textarrays import LOWER, Texts, pieces
 
 #: Labelled rows that the text models may be fitted on, at most.
@@ -129,16 +129,17 @@ def identify(rows: DataFrame, keys: list[str], sample_rows: int = SAMPLE_ROWS, l
     """``keys``, ``language``, ``posterior`` and ``kept`` for every row of :func:`evidence`.
 
     The text models are fitted on at most ``sample_rows`` rows that declare a
-    language, drawn by a hash of their text. A row is kept if a language other
+    language, drawn by a hash of their keys. A row is kept if a language other
     than UNKNOWN has the highest posterior, at least ``least_posterior``, and its
     text has a trigram of letters at all; so null, empty and one-letter texts are rejected.
     Nulls in the other evidence count as no evidence; a null host is the host "".
     Equal posteriors go to the smaller code. Repeated rows get equal results, an
     empty table gives no rows. If nothing declares a language, all is rejected.
     """
-    drawn = rows.where("_fl_declared is not null and length(_fl_text) > 2").select("_fl_declared", "_fl_text")
-    sample = drawn.orderBy(F.xxhash64("_fl_text"), "_fl_declared").limit(sample_rows).collect()
-    model = fit_text_model([tuple(r) for r in sample])
+    drawn = rows.where("_fl_declared is not null").select(*keys, "_fl_declared", "_fl_text")
+    by = [*keys, "_fl_declared"]
+    sample = bounded_sample(drawn.where("length(_fl_text) > 2"), drawn.count(), by, sample_rows).select("_fl_declared", "_fl_text")
+    model = fit_text_model([tuple(r) for r in sample.collect()])
     languages, width = model.languages, len(model.languages)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow
+from .common import bounded_sample, cut, map_arrow
 from .textarrays import IS_SPACE, Texts, mix, pieces, windows
 
 #: Labelled rows that the trees may be fitted on, at most.
@@ -237,7 +237,8 @@ def train(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
     document the trees are empty and every score is 0.
     """
     known = labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    sample = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows).toPandas()
+    drawn = bounded_sample(known.where("doc_id is not null"), known.count(), ["doc_id", "quality"], sample_rows)
+    sample = stats.join(drawn, "doc_id").orderBy(F.xxhash64("doc_id"), *BASE).limit(sample_rows).toPandas()
     x = features({k: sample[k].to_numpy() for k in BASE + MORE})
     return fit(x, sample["quality"].to_numpy(float), list(FEATURES.values()))
 

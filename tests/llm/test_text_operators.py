@@ -197,7 +197,7 @@ def test_language_of_pages(spark):
 
 def test_prior_decides_without_text(spark):
     """A text that says nothing follows its host, and a declaration if there is one."""
-    docs = [(i, "the cat and the dog of the house with that", "en", "h1") for i in range(60)] + [(100 + i, "der hund und die katze in dem haus mit dem", "de", "h2") for i in range(60)]
+    docs = [(i, "the cat and the dog of the house with that " * 20, "en", "h1") for i in range(60)] + [(100 + i, "der hund und die katze in dem haus mit dem " * 20, "de", "h2") for i in range(60)]
     df = spark.createDataFrame([*docs, (500, "qqq", None, "h1"), (501, "qqq", None, "h2"), (502, "привет мир как дела сегодня", None, "h1")], "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r for r in language_id.identify(language_id.document_evidence(df), ["doc_id"]).collect()}
     assert (got[0].language, got[100].language) == ("en", "de") and got[502].language == "und" and not got[502].kept
