@@ -163,3 +163,23 @@ def test_lines_odd(spark, odd, nothing):
     assert (7, "\nother words here", 2) in rows and (7, "another text with the same id but different words in it", 0) in rows
     assert len([r for r in rows if r[0] == 1 and r[2] == 0]) == 2
     assert line_dedup.dedup_lines(nothing).count() == 0
+
+
+def test_lines_that_differ_after_the_start_of_words(spark):
+    """Every character counts: in lines without blanks, in long words, beside surrogate pairs."""
+    pairs = [
+        ("https://www.alpha.com/news/1", "https://www.beta.org/shop/77?id=5"),
+        ("see https://www.xylophones.example/a", "see https://www.yesterdays.example/b"),
+        ("今天天气很好我们一起去公园散步吧然后回家吃晚饭", "今天天气很好我们一起去公园但是突然下起了大雨所以只好取消"),
+        ("\U0001f600\U0001f601 abcdefghijklmnop", "\U0001f600\U0001f601 abcdefghijzzzzzz"),
+    ]
+    rows = [(2 * i + k, x) for i, pair in enumerate(pairs) for k, x in enumerate(pair)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == dict(rows) and not any(r.n_removed for r in got)
+
+
+def test_shingles_of_lines(spark):
+    size = line_dedup.SHINGLE_CHARS
+    for line in ("x", "\U0001f600", "y" * size, "two words and \U0001f600 more of them", "没有空格的一行文字也要全部比较"):
+        n = spark.createDataFrame([(line,)], "norm string").select(line_dedup.shingle_hashes("norm").alias("s")).first().s
+        assert len(n) == len({line[i : i + size] for i in range(max(1, len(line) - size + 1))})
