@@ -3,9 +3,9 @@
 A line is compared without case and outer spaces. Its set is the hashes of the
 ``SHINGLE_CHARS`` characters that begin at each of its characters; a shorter
 line is one shingle. The ``SKETCH`` smallest hashes are its MinHash
-sketch; each pair of neighbours in the sketch is a band, so two lines meet in a
-bucket if two of their smallest common hashes follow each other in both (at a
-similarity of 0.8 with a probability of 0.99, at 0.9 of 0.9995). Lines that meet
+sketch; each run of ``RUN`` neighbours in the sketch is a band, so two lines meet
+in a bucket if so many common hashes follow each other in both sketches (at a
+similarity of 0.8 with a probability of 0.99, at 0.9 of 0.9998). Lines that meet
 are verified by the exact Jaccard similarity of their whole sets; verified links
 are joined to components by distributed union-find; one line of each component
 stays, the one that comes first by ``doc_id`` and place.
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import cut, drop
 from .graph import connected_components, crossing_pairs, crossing_work, only_listed, open_buckets, reseeded_pairs, star_pairs
 
-SHINGLE_CHARS = 12
-SKETCH = 8
+SHINGLE_CHARS = 5
+SKETCH = 24
+RUN = 4
 PERCENT = 80
 #: See near_dedup: passes with new partners while open buckets are large.
 CROSSING_WORK = 100_000_000
@@ -48,11 +49,11 @@ def shingle_hashes(norm) -> Column:
 
 
 def band_keys(hashes) -> Column:
-    """Hashes of neighbours in the sketch; a set of one hash has that as its band."""
+    """Hashes of the runs in the sketch; a smaller set has all of it as its band."""
     sketch = F.slice(F.sort_array(hashes), 1, SKETCH)
-    neighbours = lambda s: F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(1))), F.slice(s, 2, SKETCH), lambda a, b: F.xxhash64(a, b))
+    runs = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.size(s) - (RUN - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(s, i, F.lit(RUN))))
     # the array of one makes Spark compute the sketch once
-    return F.get(F.transform(F.array(sketch), neighbours), 0)
+    return F.get(F.transform(F.array(sketch), runs), 0)
 
 
 def keyed_lines(docs: DataFrame) -> DataFrame:
@@ -62,30 +63,33 @@ def keyed_lines(docs: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, n, shingles`` of the asked lines."""
+    """``id, norm, n, x0..x3`` of the asked lines: the text, as its set takes eight times the room, and the set's facts."""
     asked = ids.withColumnRenamed("id", "line")
     lines = normal_lines(docs).select("line", "norm")
     found = only_listed(lines, asked, "line").join(asked.hint("merge"), "line").groupBy("line").agg(F.min("norm").alias("norm"))
-    sets = found.select(F.col("line").alias("id"), shingle_hashes(F.col("norm")).alias("shingles"))
-    return sets.select("id", F.size("shingles").alias("n"), "shingles")
+    facts = F.get(F.transform(F.array(shingle_hashes(F.col("norm"))), set_facts), 0)
+    return found.select(F.col("line").alias("id"), "norm", facts.alias("facts")).select("id", "norm", "facts.*")
 
 
 def verified_links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose exact similarity reaches ``percent``."""
-    a, b = (sets.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("shingles").alias(f"s{s}")) for s in "ab")
-    both = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    linked = (100 + percent) * F.size(F.array_intersect("sa", "sb")) >= percent * (F.col("na") + F.col("nb"))
-    return cut(both.where(linked).select("a", "b").distinct(), "line-links")
+    """The pairs whose exact similarity reaches ``percent``; texts are met only where the facts allow it."""
+    facts = sets.drop("norm")
+    l, r = facts.withColumnRenamed("id", "a").alias("l"), facts.withColumnRenamed("id", "b").alias("r")
+    likely = pairs.join(l, "a").join(r, "b").where(_possible("l", "r", percent)).select("a", "b", F.col("l.n").alias("na"), F.col("r.n").alias("nb"))
+    a, b = (sets.select(F.col("id").alias(s), F.col("norm").alias(f"t{s}")) for s in "ab")
+    both = cut(likely.distinct(), "likely-lines").join(a, "a").join(b, "b")
+    common = F.size(F.array_intersect(shingle_hashes(F.col("ta")), shingle_hashes(F.col("tb"))))
+    return cut(both.where((100 + percent) * common >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "line-links")
 
 
-def set_bits(sets: DataFrame) -> DataFrame:
-    """``id, n, x0..x3``: set size and a bitmap of 256 bits, one for each hash of the set (hashes may share one)."""
+def set_facts(hashes) -> Column:
+    """``n, x0..x3``: set size and a bitmap of 256 bits, one for each hash of the set (hashes may share one)."""
 
     def word(i: int):
         mark = lambda h: F.when(F.shiftright(h, 6).bitwiseAND(F.lit(3)) == i, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
-        return F.aggregate("shingles", F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(mark(h)))
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(mark(h)))
 
-    return sets.select("id", "n", *[word(i).alias(f"x{i}") for i in range(4)])
+    return F.struct(F.size(hashes).alias("n"), *[word(i).alias(f"x{i}") for i in range(4)])
 
 
 def _possible(l: str, r: str, percent: int):
@@ -115,7 +119,7 @@ def line_groups(docs: DataFrame, keyed: DataFrame, percent: int = PERCENT) -> Da
             break
         complete = work <= CROSSING_WORK or turn >= RESEEDS or found is None
         if complete:
-            facts = set_bits(sets.join(members.select("id").distinct(), "id", "left_semi"))
+            facts = sets.drop("norm").join(members.select("id").distinct(), "id", "left_semi")
             fresh = crossing_pairs(members, facts, lambda l, r: _possible(l, r, percent))
         else:
             fresh = reseeded_pairs(members, turn)

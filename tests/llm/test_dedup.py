@@ -183,3 +183,18 @@ def test_shingles_of_lines(spark):
     for line in ("x", "\U0001f600", "y" * size, "two words and \U0001f600 more of them", "没有空格的一行文字也要全部比较"):
         n = spark.createDataFrame([(line,)], "norm string").select(line_dedup.shingle_hashes("norm").alias("s")).first().s
         assert len(n) == len({line[i : i + size] for i in range(max(1, len(line) - size + 1))})
+
+
+def test_lines_with_one_changed_letter(spark):
+    """Lines of 12 words that differ in one character in the middle of a word are one."""
+    rng, texts = random.Random(4), {}
+    for i in range(25):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8))) for _ in range(12)]
+        line = " ".join(words)
+        at = len(line) // 2
+        texts[2 * i], texts[2 * i + 1] = line, line[:at] + "#" + line[at + 1 :]
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    every = {k: frozenset(x[i : i + 5] for i in range(len(x) - 4)) for k, x in texts.items()}
+    expected = components(every, 80)
+    assert {r.doc_id: r.text for r in got} == {k: x if expected[k] == k else "" for k, x in texts.items()}
+    assert sum(expected[k] != k for k in texts) == 25
