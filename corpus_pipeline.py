@@ -17,6 +17,10 @@ from feloom.llm.near_dedup import near_duplicates
 from feloom.llm.packing import pack
 
 
+#: Similarity from which documents are near-duplicates in the pipeline; 85 is the contract of op9 alone.
+NEAR_PERCENT = 80
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified."""
     return reject_unidentified(docs)
@@ -36,7 +40,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     What goes is listed first, so the anti-join reads a table of known size.
     """
-    gone = cut(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_fl_gone")).distinct(), "near-gone")
+    gone = cut(near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select(F.col("doc_id").alias("_fl_gone")).distinct(), "near-gone")
     return docs.join(gone, docs["doc_id"] == gone["_fl_gone"], "left_anti")
 
 

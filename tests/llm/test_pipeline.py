@@ -51,6 +51,14 @@ def test_near_stage(spark):
     assert sorted((r.doc_id for r in corpus_pipeline.near(spark, df, SF).collect()), key=str) == [1, 4, None]
 
 
+def test_near_stage_takes_similarities_from_80(spark):
+    """69 of 83 shingles are common: 0.83."""
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, "en", "a", 1), (2, text.replace("w40 w41 w42", "x y z"), "en", "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.near(spark, df, SF).collect()] == [1]
+
+
 def test_pipeline_on_nothing(spark, nothing):
     now = nothing
     for _, stage in corpus_pipeline.STAGES:
