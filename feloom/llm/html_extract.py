@@ -4,7 +4,7 @@ First pass: each page is parsed, its containers are scored by the paragraphs
 they hold, and the page votes for the tag-class paths of its best containers.
 Spark sums the votes per host and path and takes each host's best path. Second
 pass: each page is parsed again and the text of the containers on its host's
-path is taken; a page without such a container, or with no text there, falls
+path, each widened to the article or main element around it, is taken; a page without such a container, or with no text there, falls
 back to its own best container, then to its body.
 
 Left out everywhere: menus, headers, footers, sidebars, notices, adverts, forms,
@@ -54,7 +54,10 @@ GOOD_NAMES = frozenset("article content main post entry story body text".split()
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_HIDDEN = re.compile(r"""aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
+#: Values of attributes; what is left are their names, among them perhaps ``hidden`` itself.
+_VALUE = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""")
+_HIDDEN_NAME = re.compile(r"(?<![\w:@.-])hidden(?![\w:@.-])", re.I)
 _HOST = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -163,7 +166,7 @@ class Page:
             found = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in _NAMES.finditer(attributes)]
             names = tuple(w for key, value in found if key == "class" for w in value.split())
             others = tuple(w for key, value in found if key != "class" for w in value.split())
-            hidden = name not in KEPT_TAGS and (any(map(_is_dropped_name, names + others)) or bool(_HIDDEN.search(attributes)))
+            hidden = name not in KEPT_TAGS and (any(map(_is_dropped_name, names + others)) or _is_hidden(attributes))
         if name == "header":
             hidden = hidden or not any(self.tag[i] in ("article", "main") for i in self._stack)
         self.tag.append(name)
@@ -228,18 +231,34 @@ class Page:
             inside[i] = i in chosen or (self.parent[i] >= 0 and inside[self.parent[i]])
         return "\n".join(text for at, text, _ in self.blocks if inside[at])
 
+    def whole(self, at: int) -> int:
+        """The article around a container, or else the main element, or else the container: headline, lead and sections lie beside it."""
+        main, up = at, at
+        while up > 0:
+            if self.tag[up] == "article":
+                return up
+            if self.tag[up] == "main":
+                main = up
+            up = self.parent[up]
+        return main
+
     def main_text(self, path: str | None) -> str:
         if path:
-            text = self.text_of([i for i in range(len(self.tag)) if not self.dropped[i] and self.path(i) == path])
+            text = self.text_of([self.whole(i) for i in range(len(self.tag)) if not self.dropped[i] and self.path(i) == path])
             if text:
                 return text
         points = self.scores()
         if points:
-            return self.text_of([max(points, key=lambda i: (points[i], -i))])
+            return self.text_of([self.whole(max(points, key=lambda i: (points[i], -i)))])
         articles = [i for i in range(len(self.tag)) if self.tag[i] in ("article", "main") and not self.dropped[i]]
         return self.text_of(articles) or self.text_of([0])
 
 
+def _is_hidden(attributes: str) -> bool:
+    """The words ``hidden`` of ``class`` and ``overflow:hidden`` of ``style`` hide nothing."""
+    return bool(_HIDDEN.search(attributes)) or ("hidden" in attributes.lower() and bool(_HIDDEN_NAME.search(_VALUE.sub("= ", attributes))))
+
+
 def _is_dropped_name(name: str) -> bool:
     words = re.split(r"[-_]", name)
     if words[0] in ("has", "with", "no", "without", "js"):

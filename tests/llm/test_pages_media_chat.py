@@ -25,6 +25,23 @@ def test_page():
     assert html_extract.Page("<p>unclosed <b>bold<p>next</div><script>never").main_text(None) == "unclosed bold\nnext"
 
 
+def test_whole_article():
+    """What lies beside the winning container in its article belongs to the text."""
+    p = "<p>Enough words to count, in a sentence that goes on for a while and then some more, and more.</p>"
+    page = f"<main><article><h1>Headline</h1><div class=lead>The lead.</div><div class=article-body>{p * 6}</div><section><p>At the end.</p></section></article></main>"
+    for path in (None, "main>article>div.article-body"):
+        text = html_extract.Page(page).main_text(path).split("\n")
+        assert text[:2] == ["Headline", "The lead."] and len(text) == 9 and text[-1] == "At the end."
+
+
+def test_hidden():
+    shown = ["style='overflow:hidden'", "class='overflow-hidden'", "class=hidden-xs", "data-hidden=1", "title='a hidden place'", "class= hidden"]
+    gone = ["hidden", "hidden=''", "class='x' HIDDEN", "class='x'hidden", "aria-hidden='true'", "style='display: none'", "style='visibility:hidden'"]
+    for attributes in shown + gone:
+        text = html_extract.Page(f"<body><div {attributes}><p>Some text.</p></div></body>").main_text(None)
+        assert text == ("Some text." if attributes in shown else ""), attributes
+
+
 def test_host():
     assert [html_extract.host_of(u) for u in ("http://A.b:80/x", "//c.d", "x", None, "https://u@e.f?q")] == ["a.b", "c.d", "", "", "e.f"]
 
