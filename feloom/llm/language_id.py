@@ -21,15 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, map_arrow
+from .common import cut, map_arrow
 from .textarrays import LOWER, Texts, pieces
 
 #: Labelled rows that the text models may be fitted on, at most.
 SAMPLE_ROWS = 3000
-#: Languages that the models may tell apart, at most; the most frequent of the sample are taken.
+#: Languages that the models may tell apart, at most; the most frequent of all rows are taken.
 MOST_LANGUAGES = 200
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -125,20 +125,48 @@ def evidence(docs: DataFrame, text, declared, host, suffix) -> DataFrame:
     )
 
 
+def rows_of_each(counts: list[int], most: int) -> int:
+    """The largest k for which ``most`` has room for up to k rows of each language; 1 at least."""
+    k, free, left = 1, most, len(counts)
+    for n in sorted(counts):
+        k = max(1, free // left)
+        if n > k:
+            break
+        k, free, left = n, free - n, left - 1
+    return k
+
+
+def declared_sample(rows: DataFrame, keys: list[str], sample_rows: int) -> DataFrame:
+    """``_fl_declared, _fl_text``: up to the same number of rows of each declared language, counted over all rows.
+
+    As in ``bounded_sample`` a threshold on the hash comes before the ranks, so
+    the rows of a language that are ranked are bounded whatever its count.
+    """
+    drawn = rows.where("_fl_declared is not null and length(_fl_text) > 2").select(*keys, "_fl_declared", "_fl_text")
+    counts = drawn.groupBy("_fl_declared").count().orderBy(F.desc("count"), "_fl_declared").limit(MOST_LANGUAGES).collect()
+    if not counts:
+        return drawn.select("_fl_declared", "_fl_text").limit(0)
+    k = rows_of_each([r["count"] for r in counts], sample_rows)
+    scale = 1 << 40
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["_fl_declared"], int(min(1.0, (1.5 * k + 100) / r["count"]) * scale))])
+    place = F.pmod(F.xxhash64(*keys, "_fl_declared"), F.lit(scale))
+    few = drawn.withColumn("_fl_place", place).where(F.col("_fl_place") <= shares[F.col("_fl_declared")])
+    rank = F.row_number().over(Window.partitionBy("_fl_declared").orderBy("_fl_place", *keys))
+    return few.withColumn("_fl_rank", rank).where(F.col("_fl_rank") <= k).select("_fl_declared", "_fl_text")
+
+
 def identify(rows: DataFrame, keys: list[str], sample_rows: int = SAMPLE_ROWS, least_posterior: float = LEAST_POSTERIOR) -> DataFrame:
     """``keys``, ``language``, ``posterior`` and ``kept`` for every row of :func:`evidence`.
 
     The text models are fitted on at most ``sample_rows`` rows that declare a
-    language, drawn by a hash of their keys. A row is kept if a language other
+    language (one of each language at least), drawn per language by a hash of their keys. A row is kept if a language other
     than UNKNOWN has the highest posterior, at least ``least_posterior``, and its
     text has a trigram of letters at all; so null, empty and one-letter texts are rejected.
     Nulls in the other evidence count as no evidence; a null host is the host "".
     Equal posteriors go to the smaller code. Repeated rows get equal results, an
     empty table gives no rows. If nothing declares a language, all is rejected.
     """
-    drawn = rows.where("_fl_declared is not null").select(*keys, "_fl_declared", "_fl_text")
-    by = [*keys, "_fl_declared"]
-    sample = bounded_sample(drawn.where("length(_fl_text) > 2"), drawn.count(), by, sample_rows).select("_fl_declared", "_fl_text")
+    sample = declared_sample(rows, keys, sample_rows)
     model = fit_text_model([tuple(r) for r in sample.collect()])
     languages, width = model.languages, len(model.languages)
 

@@ -242,3 +242,20 @@ def test_token_count_rows(odd, nothing):
     long = next(r for r in got if r.doc_id == 5)
     assert long.chars_encoded_again < 0.05 * long.n_chars_after
     assert token_counts.count_edited(nothing).count() == 0
+
+
+def test_rare_language_is_known(spark):
+    """A declared language has a model however small its share of the table."""
+    english = "the house is on the hill and the river runs by it every day of the year number"
+    georgian = "სახლი გორაზე დგას და მდინარე ყოველდღე მის გვერდით მიედინება მთელი წლის განმავლობაში"
+    rows = [(i, f"{english} {i}", "en", "a", 1) for i in range(600)] + [(1000 + i, f"{georgian} {i}", "ka", "a", 1) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = language_id.identify(language_id.document_evidence(df), ["doc_id"], sample_rows=10).collect()
+    assert Counter((r.language, r.kept) for r in got) == {("en", True): 600, ("ka", True): 2}
+
+
+def test_rows_of_each():
+    assert language_id.rows_of_each([5], 3000) == 5 and language_id.rows_of_each([10**9, 2], 10) == 8
+    for counts, most in (([1, 7, 7, 900], 40), ([3] * 50, 20), ([10, 20, 30], 60)):
+        k = language_id.rows_of_each(counts, most)
+        assert k == 1 or sum(min(n, k) for n in counts) <= most
