@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..functions.validity import is_finite
 from ..operators.projections import valid_score_array
 from ..operators.sampling import group_key, stratified_sample
+from ..sources.checkpoints import persisted
 from . import aligner as aligner_fit
 from . import equalizer
 
@@ -138,8 +139,7 @@ class NEPriorClassProba(Estimator, Stratified):
         x = self.get("inputCol")
         rows = self._sample(df.where(valid_score_array(x) & (F.size(x) == len(prior))))
         models = rows.groupBy("_group").applyInPandas(fit, "_group string, message string, factors array<double>")
-        collected = models.limit(MOST_GROUPS).collect()
-        kept = df.sparkSession.createDataFrame([(r["_group"], r["factors"]) for r in collected if r["factors"]], "_group string, factors array<double>")
+        kept = persisted(models.where("size(factors) > 0").select("_group", "factors"), "cache")
         return NEPriorClassProbaModel(kept, x, self.get("groupCols"), self.get("outputCol"))
 
 

@@ -58,6 +58,14 @@ def test_aligner(spark):
     assert np.allclose([sum(r.q) for r in got.where("q is not null").limit(20).collect()], 1)
 
 
+def test_aligner_keeps_all_groups(spark, monkeypatch):
+    monkeypatch.setattr("feloom.ml.estimators.MOST_GROUPS", 2)
+    p = np.random.default_rng(3).dirichlet([1, 1], 100)
+    df = spark.createDataFrame([(f"g{i % 5}", row.tolist()) for i, row in enumerate(p)], "g string, p array<double>")
+    got = NEPriorClassProba(inputCol="p", outputCol="q", groupCols=["g"], priorValues=[1.0, 2.0]).fit(df).transform(df)
+    assert got.count() == 100 and got.where("q is null").count() == 0
+
+
 def test_steps():
     x = np.array([[np.nan, 2.0, 0.0], [1.0, 0.0, 0.0]])
     assert models.impute(x, np.array([9.0, 0, 0]))[0, 0] == 9
