@@ -8,10 +8,12 @@ Only a plain local session without that setting gets a folder of its own.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ SPACES = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACES}]+"
 
 _own_dir: list[str] = []
+_watched: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,20 +45,45 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table of its own in the shared folder: the lineage ends here and its size is known to the planner."""
+    """``df`` as a table of its own in the shared folder: the lineage ends here and its size is known to the planner.
+
+    What is left of such tables goes when the driver ends.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    for names in _watched:
+        names.append(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._fl_folder = path
+    return made
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, keep: list[DataFrame]) -> Iterator[None]:
+    """Delete the tables that :func:`cut` makes inside, but for those of the frames that are in ``keep`` at the end."""
+    names: list[str] = []
+    _watched.append(names)
+    try:
+        yield
+    finally:
+        _watched.remove(names)
+    kept = {getattr(df, "_fl_folder", None) for df in keep}
+    for name in names:
+        if name not in kept:
+            _delete(spark, name)
 
 
 def drop(df: DataFrame) -> None:
     """Delete the table behind a frame that :func:`cut` made and that nothing reads any more."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._fl_folder)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

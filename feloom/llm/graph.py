@@ -62,17 +62,18 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
 
 
 def open_buckets(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """Members of the buckets that still hold more than one component: ``key, id, component``."""
+    """Members of the buckets that still hold more than one component: ``key, id, component, g`` (bucket size)."""
     named = buckets.join(components.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("g")).where("lo < hi").select("key", "g")
     return named.join(mixed, "key")
 
 
-def crossing_work(members: DataFrame) -> int:
-    """How many pairs of open buckets lie in different components."""
+def crossing_work(members: DataFrame) -> tuple[int, int]:
+    """How many pairs of open buckets lie in different components, and the members of open buckets."""
     parts = members.groupBy("key", "component").count()
     by_key = parts.groupBy("key").agg(F.sum("count").alias("g"), F.sum(F.col("count").cast("double") * F.col("count")).alias("own"))
-    return int(by_key.agg(F.sum(F.col("g").cast("double") * F.col("g") - F.col("own"))).first()[0] or 0)
+    work, rows = by_key.agg(F.sum(F.col("g").cast("double") * F.col("g") - F.col("own")) / 2, F.sum("g")).first()
+    return int(work or 0), int(rows or 0)
 
 
 def reseeded_pairs(members: DataFrame, seed: int) -> DataFrame:
@@ -83,22 +84,72 @@ def reseeded_pairs(members: DataFrame, seed: int) -> DataFrame:
     return met.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
 
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 2000
+
+
 def crossing_pairs(members: DataFrame, facts: DataFrame, possible) -> DataFrame:
     """All pairs of one open bucket that lie in different components and that ``possible(l, r)`` admits.
 
     ``facts`` holds by ``id`` what ``possible`` reads as columns of the aliases
     ``l`` and ``r``; it is part of the join condition, so that hopeless pairs
-    are never made into rows. A pair that shares several buckets is made only in
-    the one with the smallest key.
+    are never made into rows. A bucket of more than ``BLOCK`` members is dealt to
+    blocks, and each two blocks meet in a cell of their own: no task compares more than
+    about ``BLOCK`` squared pairs of a bucket. A pair that shares several buckets is
+    made only in the one with the smallest key.
     """
     keys = members.groupBy("id").agg(F.collect_list("key").alias("keys"))
     full = members.join(keys, "id").join(facts, "id").withColumn("earlier", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
+    last = F.floor((F.col("g") - 1) / BLOCK).cast("int")
+    full = full.withColumn("block", F.pmod(F.xxhash64("id"), last + 1).cast("int")).withColumn("last", last).drop("g")
+    # a pair of blocks i <= j is one cell; a pair of one block is ordered by component
+    l = full.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", "last"))).alias("l")
+    r = full.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block")))).alias("r")
     first = ~F.arrays_overlap("l.earlier", "r.earlier")
-    condition = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")) & possible("l", "r") & first
-    met = full.alias("l").join(full.alias("r"), condition)
+    apart = F.when(F.col("l.block") == F.col("r.block"), F.col("l.component") < F.col("r.component")).otherwise(F.col("l.component") != F.col("r.component"))
+    cell = (F.col("l.key") == F.col("r.key")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
+    met = l.join(r, cell & apart & possible("l", "r") & first)
     return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
 
 
+#: Passes with newly drawn partners at most.
+RESEEDS = 6
+
+
+def search(buckets: DataFrame, links, admitted, partners: int, label: str) -> DataFrame:
+    """``(node, component)`` of the links among the members of common buckets (``key, id``).
+
+    ``links(pairs, admitted)`` confirms pairs; ``admitted(members)`` gives the facts
+    of members of open buckets and the condition for :func:`crossing_pairs`. Members meet
+    the smallest one of their bucket first. While more than ``partners`` partners of other
+    components are left to a member on average, they then meet others drawn anew, which joins
+    what is densely linked at the cost of one pair a member; that ends after ``RESEEDS``
+    passes or one without a link. All pairs of different components that are left are
+    then searched, in every case, so the number of passes changes only the cost.
+    """
+    tried = cut(star_pairs(buckets), f"{label}-pairs")
+    found = links(tried, False)
+    groups = cut(connected_components(found, "a", "b"), f"{label}-groups")
+    turn, done = 0, False
+    while not done:
+        members = cut(open_buckets(buckets, groups), f"{label}-open")
+        work, rows = crossing_work(members)
+        if not work:
+            break
+        done = work <= partners * rows or turn >= RESEEDS or found.isEmpty()
+        pairs = crossing_pairs(members, *admitted(members)) if done else reseeded_pairs(members, turn)
+        fresh = cut(pairs.join(tried, ["a", "b"], "left_anti"), f"{label}-fresh")
+        drop(members)
+        found = links(fresh, done)
+        if not found.isEmpty():
+            joined = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found)
+            groups = cut(connected_components(joined, "a", "b"), f"{label}-groups")
+        if not done:
+            tried = tried.unionAll(fresh)
+        turn += 1
+    return groups
+
+
 #: Buckets of a bitmap of ids, a power of two; as a table it has at most BITMAP / 64 rows.
 BITMAP = 1 << 22
 

@@ -2,18 +2,24 @@
 
 A line is compared without case and outer spaces. Its set is the hashes of the
 ``SHINGLE_CHARS`` characters that begin at each of its characters; a shorter
-line is one shingle. The ``SKETCH`` smallest hashes are its MinHash
-sketch; each run of ``RUN`` neighbours in the sketch is a band, so two lines meet
-in a bucket if so many common hashes follow each other in both sketches (at a
-similarity of 0.8 with a probability of 0.99, at 0.9 of 0.9998). Lines that meet
+line is one shingle. Its signature is the smallest hashes of the set in order,
+and runs of neighbours in it are the bands: two lines meet in a bucket if so
+many common hashes follow each other in both signatures.
+
+- Sets of at most ``DENSE`` hashes: every run of 4 in the 24 smallest.
+- Sets of at least 0.8 * ``DENSE``: of the 64 smallest, the runs of 5 that begin
+  with a hash whose two lowest bits are 0.
+
+Similar sets differ in size by less than a fifth, so any two that can be linked
+have one of the rules in common. At a similarity of 0.8 the rules find a pair with
+a probability of 0.99, at 0.9 of 0.9998. Lines that meet
 are verified by the exact Jaccard similarity of their whole sets; verified links
 are joined to components by distributed union-find; one line of each component
 stays, the one that comes first by ``doc_id`` and place.
 
 Equal lines are one node from the start, so copies of any number cost one row
-each. Buckets are searched like those of near-duplicate documents: smallest
-member first, newly drawn members while that joins components, then all pairs
-of different components whose sizes and bitmaps allow a link.
+each. Nodes are named by 64-bit hashes of the lines, and a second hash tells lines apart that
+share the first: they get names of their own. Buckets are searched as :func:`graph.search` says.
 """
 
 from __future__ import annotations
@@ -22,132 +28,171 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop
-from .graph import connected_components, crossing_pairs, crossing_work, only_listed, open_buckets, reseeded_pairs, star_pairs
+from .graph import only_listed, search
 
 SHINGLE_CHARS = 5
-SKETCH = 24
-RUN = 4
+#: Signature length and run length of small sets, and of large ones; see above.
+SMALL, SMALL_RUN = 24, 4
+LARGE, LARGE_RUN = 64, 5
+DENSE = 120
 PERCENT = 80
-#: See near_dedup: passes with new partners while open buckets are large.
-CROSSING_WORK = 100_000_000
-RESEEDS = 3
+#: Partners left to a member on average from which it meets newly drawn ones before the complete search.
+CROSSING_WORK = 8
 SPACES = " \t\x0b\x0c\r"
-#: Found at every character; the second half of a surrogate pair is none.
-_SHINGLES = rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{SHINGLE_CHARS}}}|^.{{1,{SHINGLE_CHARS - 1}}}\z))"
+#: Bits of a line's first hash that name it (all; fewer in tests of shared names).
+NAME_BITS = -1
+
+
+def _once(value, use) -> Column:
+    """``use(value)`` with ``value`` computed once: the element of an array is no expression that Spark repeats."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def normal_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, _fl_text (hash of the text), place, norm, line``: the lines with a word; ``line`` is the hash of ``norm``."""
+    """``doc_id, _fl_text (hash of the text), place, norm, line, twin``: the lines with a word and two hashes of ``norm``."""
     text = F.coalesce("text", F.lit(""))
     lines = docs.select("doc_id", F.xxhash64(text).alias("_fl_text"), F.posexplode(F.split(F.lower(text), "\n")).alias("place", "norm"))
-    return lines.withColumn("norm", F.trim("norm", F.lit(SPACES))).where("norm <> ''").withColumn("line", F.xxhash64("norm"))
+    lines = lines.withColumn("norm", F.trim("norm", F.lit(SPACES))).where("norm <> ''")
+    return lines.withColumns({"line": F.xxhash64("norm").bitwiseAND(F.lit(NAME_BITS)), "twin": F.xxhash64("norm", F.lit(1))})
 
 
 def shingle_hashes(norm) -> Column:
-    """The distinct shingle hashes of a normal line."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(norm, F.lit(_SHINGLES), F.lit(1)), lambda s: F.xxhash64(s)))
+    """The distinct shingle hashes of a normal line. In UTF-32 a character has four bytes, so each shingle is found by its place."""
+    width = 4 * SHINGLE_CHARS
+    starts = lambda e: F.sequence(F.lit(1), F.greatest(F.length(e) - (width - 1), F.lit(1)), F.lit(4))
+    col = F.col(norm) if isinstance(norm, str) else norm
+    return _once(F.encode(col, "UTF-32"), lambda e: F.array_distinct(F.transform(starts(e), lambda i: F.xxhash64(F.substr(e, i, F.lit(width))))))
+
+
+def _runs(ordered, at, size: int) -> Column:
+    return F.transform(at, lambda i: F.xxhash64(F.slice(ordered, i, F.lit(size))))
 
 
 def band_keys(hashes) -> Column:
-    """Hashes of the runs in the sketch; a smaller set has all of it as its band."""
-    sketch = F.slice(F.sort_array(hashes), 1, SKETCH)
-    runs = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.size(s) - (RUN - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(s, i, F.lit(RUN))))
-    # the array of one makes Spark compute the sketch once
-    return F.get(F.transform(F.array(sketch), runs), 0)
+    """``n`` (the size of the set) and its band ``keys``."""
+
+    def places(s, run: int):
+        return F.sequence(F.lit(1), F.greatest(F.size(s) - (run - 1), F.lit(1)))
+
+    def dense(s):
+        return _runs(s, places(s, SMALL_RUN), SMALL_RUN)
+
+    def sparse(s):
+        return _runs(s, F.filter(places(s, LARGE_RUN), lambda i: F.get(s, i - 1).bitwiseAND(F.lit(3)) == 0), LARGE_RUN)
+
+    def of(s):
+        n = F.size(s)
+        none = F.array().cast("array<bigint>")
+        small = F.when(n <= DENSE, _once(F.slice(s, 1, SMALL), dense)).otherwise(none)
+        large = F.when(n * 5 >= DENSE * 4, _once(F.slice(s, 1, LARGE), sparse)).otherwise(none)
+        return F.struct(n.alias("n"), F.concat(small, large).alias("keys"))
+
+    return _once(F.sort_array(hashes), of)
 
 
 def keyed_lines(docs: DataFrame) -> DataFrame:
-    """The lines as a narrow table, ``doc_id, _fl_text, place, line, keys``: the one pass that makes shingles of all."""
+    """The lines as a narrow table, ``doc_id, _fl_text, place, line, twin, n, keys``: the one pass that makes shingles of all."""
     lines = normal_lines(docs)
-    return cut(lines.select("doc_id", "_fl_text", "place", "line", band_keys(shingle_hashes(F.col("norm"))).alias("keys")), "lines")
+    made = lines.select("doc_id", "_fl_text", "place", "line", "twin", band_keys(shingle_hashes("norm")).alias("made"))
+    return cut(made.select("doc_id", "_fl_text", "place", "line", "twin", "made.*"), "lines")
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, norm, n, x0..x3`` of the asked lines: the text, as its set takes eight times the room, and the set's facts."""
-    asked = ids.withColumnRenamed("id", "line")
-    lines = normal_lines(docs).select("line", "norm")
-    found = only_listed(lines, asked, "line").join(asked.hint("merge"), "line").groupBy("line").agg(F.min("norm").alias("norm"))
-    facts = F.get(F.transform(F.array(shingle_hashes(F.col("norm"))), set_facts), 0)
-    return found.select(F.col("line").alias("id"), "norm", facts.alias("facts")).select("id", "norm", "facts.*")
+def named_lines(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``keyed`` with ``id``, one for each different line, and ``id, line, twin, owner, copies`` of each id.
 
+    The id is the first hash; where lines with another second hash share it, all
+    but one of them take a name of both hashes.
+    """
+    keyed = keyed.withColumn("id", F.col("line"))
+    salt = 2
+    while True:
+        facts = [F.min("line").alias("line"), F.min("twin").alias("twin"), F.max("twin").alias("other"), F.min("doc_id").alias("owner"), F.count("*").alias("copies")]
+        owners = cut(keyed.groupBy("id").agg(*facts), "owners")
+        shared = owners.where("twin <> other").select("id", F.col("twin").alias("_fl_first"))
+        if shared.isEmpty():
+            return keyed, owners.drop("other")
+        # a handful of rows at any size: pairs of different lines with one 64-bit hash
+        met = keyed.join(shared, "id", "left")
+        moved = F.when(F.col("twin") != F.col("_fl_first"), F.xxhash64("line", "twin", F.lit(salt))).otherwise(F.col("id"))
+        keyed = met.withColumn("id", moved).drop("_fl_first")
+        salt += 1
+
+
+def texts_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``id, norm`` of the asked lines (``id, line, twin, owner``), read from the document that owns each."""
+    lines = normal_lines(docs).select("doc_id", "line", "twin", "norm")
+    listed = only_listed(lines, asked, "line")
+    where = asked.withColumnRenamed("owner", "doc_id").hint("merge")
+    known = listed.where("doc_id is not null").join(where, ["line", "twin", "doc_id"]).select("id", "norm")
+    # lines that only rows without an id have
+    rest = listed.where("doc_id is null").join(where.where("doc_id is null").drop("doc_id"), ["line", "twin"]).select("id", "norm")
+    return known.unionAll(rest).groupBy("id").agg(F.min("norm").alias("norm"))
+
+
+def verified_links(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose exact similarity reaches ``percent``."""
+    a, b = (texts.select(F.col("id").alias(s), F.col("norm").alias(f"t{s}")) for s in "ab")
+    both = pairs.join(a, "a").join(b, "b")
+
+    def linked(s):
+        na, nb = F.size(s["x"]), F.size(s["y"])
+        return F.when(100 * F.least(na, nb) < percent * F.greatest(na, nb), False).otherwise((100 + percent) * F.size(F.array_intersect(s["x"], s["y"])) >= percent * (na + nb))
 
-def verified_links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose exact similarity reaches ``percent``; texts are met only where the facts allow it."""
-    facts = sets.drop("norm")
-    l, r = facts.withColumnRenamed("id", "a").alias("l"), facts.withColumnRenamed("id", "b").alias("r")
-    likely = pairs.join(l, "a").join(r, "b").where(_possible("l", "r", percent)).select("a", "b", F.col("l.n").alias("na"), F.col("r.n").alias("nb"))
-    a, b = (sets.select(F.col("id").alias(s), F.col("norm").alias(f"t{s}")) for s in "ab")
-    both = cut(likely.distinct(), "likely-lines").join(a, "a").join(b, "b")
-    common = F.size(F.array_intersect(shingle_hashes(F.col("ta")), shingle_hashes(F.col("tb"))))
-    return cut(both.where((100 + percent) * common >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "line-links")
+    sets = F.struct(shingle_hashes("ta").alias("x"), shingle_hashes("tb").alias("y"))
+    return cut(both.where(_once(sets, linked)).select("a", "b"), "line-links")
+
+
+#: Longs of the bitmap that :func:`set_facts` makes of a set.
+WORDS = 8
 
 
 def set_facts(hashes) -> Column:
-    """``n, x0..x3``: set size and a bitmap of 256 bits, one for each hash of the set (hashes may share one)."""
+    """``n, x0..``: set size and a bitmap whose bits tell whether an odd number of the set's hashes fall on them."""
+    word = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(WORDS - 1))
+    mark = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
 
-    def word(i: int):
-        mark = lambda h: F.when(F.shiftright(h, 6).bitwiseAND(F.lit(3)) == i, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(mark(h)))
+    def parity(i: int):
+        return F.aggregate(F.filter(hashes, lambda h: word(h) == i), F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(mark(h)))
 
-    return F.struct(F.size(hashes).alias("n"), *[word(i).alias(f"x{i}") for i in range(4)])
+    return F.struct(F.size(hashes).alias("n"), *[parity(i).alias(f"x{i}") for i in range(WORDS)])
 
 
 def _possible(l: str, r: str, percent: int):
-    """Whether sizes and bitmaps allow a link. A differing bit needs a differing hash, so no link is lost."""
+    """Whether sizes and bitmaps allow a link. A differing bit needs a hash that only one set has, so no link is lost."""
     na, nb = F.col(f"{l}.n"), F.col(f"{r}.n")
     near = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
-    differ = sum(F.bit_count(F.col(f"{l}.x{i}").bitwiseXOR(F.col(f"{r}.x{i}"))) for i in range(4))
+    differ = sum(F.bit_count(F.col(f"{l}.x{i}").bitwiseXOR(F.col(f"{r}.x{i}"))) for i in range(WORDS))
     return near & ((100 + percent) * differ <= (100 - percent) * (na + nb))
 
 
-def line_groups(docs: DataFrame, keyed: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``node, component`` for the lines that are linked with another text; nodes are line hashes."""
-    bands = keyed.select(F.explode("keys").alias("key"), F.col("line").alias("id"))
-    shared = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    shared = cut(shared, "shared-bands")
-    buckets = cut(only_listed(bands, shared, "key").join(shared, "key").distinct(), "line-buckets")
+def line_groups(docs: DataFrame, keyed: DataFrame, owners: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``node, component`` for the lines that are linked with another text; nodes are the ids of :func:`named_lines`."""
+    bands = keyed.select(F.explode("keys").alias("key"), "id")
+    shared = cut(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "shared-bands")
+    buckets = cut(only_listed(bands, shared, "key").join(shared, "key").select("key", "id").distinct(), "line-buckets")
     drop(shared)
-    sets = cut(whole_sets(docs, cut(buckets.select("id").distinct(), "asked-lines")), "line-sets")
-    tried = cut(star_pairs(buckets), "line-pairs")
-    found = verified_links(sets, tried, percent)
-    groups = cut(connected_components(found, "a", "b"), "line-groups")
-    turn = 0
-    while True:
-        members = cut(open_buckets(buckets, groups), "open-lines")
-        work = crossing_work(members)
-        if not work:
-            break
-        complete = work <= CROSSING_WORK or turn >= RESEEDS or found is None
-        if complete:
-            facts = sets.drop("norm").join(members.select("id").distinct(), "id", "left_semi")
-            fresh = crossing_pairs(members, facts, lambda l, r: _possible(l, r, percent))
-        else:
-            fresh = reseeded_pairs(members, turn)
-        fresh = cut(fresh.join(tried, ["a", "b"], "left_anti"), "new-line-pairs")
-        found = None if fresh.isEmpty() else verified_links(sets, fresh, percent)
-        if found is not None and found.isEmpty():
-            found = None
-        if found is not None:
-            joined = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found)
-            groups = cut(connected_components(joined, "a", "b"), "line-groups")
-        if complete:
-            break
-        tried = tried.unionAll(fresh)
-        turn += 1
-    drop(sets)
+    asked = buckets.select("id").distinct().join(owners.select("id", "line", "twin", "owner"), "id")
+    texts = cut(texts_of(docs, cut(asked, "asked-lines")), "line-texts")
+
+    def admitted(members: DataFrame):
+        some = texts.join(members.select("id").distinct(), "id", "left_semi")
+        facts = cut(some.select("id", _once(shingle_hashes("norm"), set_facts).alias("facts")).select("id", "facts.*"), "line-facts")
+        return facts, lambda l, r: _possible(l, r, percent)
+
+    groups = search(buckets, lambda pairs, _: verified_links(texts, pairs, percent), admitted, CROSSING_WORK, "line")
+    drop(texts)
     return groups
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, _fl_text, removed``: places (from 0) of the lines of each row that go, only rows that lose one."""
-    keyed = keyed_lines(docs)
-    groups = line_groups(docs, keyed, percent)
-    owners = keyed.groupBy("line").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
-    named = owners.join(groups.withColumnRenamed("node", "line"), "line", "left").where("n > 1 or component is not null")
-    named = cut(named.select("line", F.coalesce("component", "line").alias("component"), "owner"), "repeated")
+    keyed, owners = named_lines(keyed_lines(docs))
+    groups = line_groups(docs, keyed, owners, percent)
+    named = owners.join(groups.withColumnRenamed("node", "id"), "id", "left").where("copies > 1 or component is not null")
+    named = cut(named.select("id", F.coalesce("component", "id").alias("component"), "owner"), "repeated")
     keepers = named.groupBy("component").agg(F.min("owner").alias("keeper"))
-    verdict = cut(named.join(keepers, "component").select("line", "component", "keeper"), "verdicts")
-    hit = keyed.select("doc_id", "_fl_text", "place", "line").join(verdict, "line")
+    verdict = cut(named.join(keepers, "component").select("id", "component", "keeper"), "verdicts")
+    hit = keyed.select("doc_id", "_fl_text", "place", "id").join(verdict, "id")
     by_group = hit.groupBy("doc_id", "_fl_text", "component", "keeper").agg(F.min("place").alias("first"), F.collect_list("place").alias("places"))
     own = F.col("doc_id").eqNullSafe(F.col("keeper"))
     gone = F.when(own, F.array_except("places", F.array("first"))).otherwise(F.col("places"))

@@ -18,13 +18,15 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, drop
 
 #: Weights of the sources in code point order, repeating (fixed values).
 WEIGHTS = (5, 2, 1)
 #: A target is at most this many times the source's size.
 MOST = 3
 BLOCKS = 256
+#: 2**32 over the golden ratio (fixed value).
+FACTOR = 2654435769
 SEED = 20240229
 
 
@@ -72,31 +74,33 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) ->
     places, which changes no result. An empty table gives no rows; other columns
     pass through, those named like a new column or starting with ``_fl_`` are replaced.
     """
-    made = ["size", "source_size", "target", "copies", "_fl_block", "_fl_first"]
-    rows = docs.drop(*made).withColumn("size", words_of("text")).withColumn("_fl_block", F.coalesce(F.pmod("doc_id", F.lit(BLOCKS)), F.lit(BLOCKS)).cast("int"))
-    counts = cut(rows.groupBy("source", "size", "_fl_block").agg(F.count("*").alias("n")), "counts")
-    source = F.col("source")
-    sums = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    rates = targets(sums, weights, most)
-    by_size = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    upto = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    by_size = by_size.select("source", "size", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("first"))
-    inner = Window.partitionBy("source", "size").orderBy("_fl_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = counts.select("source", "size", "_fl_block", F.coalesce(F.sum("n").over(inner), F.lit(0)).alias("inside"))
-
-    def same(left: DataFrame, right: DataFrame, keys: list[str], take: list[str], how: str = "inner") -> DataFrame:
-        """An equi-join that also matches null sources."""
-        r = right.select(*[F.col(k).alias(f"_fl_r_{k}") for k in keys], *take)
-        on = [left[k].eqNullSafe(r[f"_fl_r_{k}"]) for k in keys]
-        return left.join(r, on, how).drop(*[f"_fl_r_{k}" for k in keys])
-
-    firsts = same(same(blocks, by_size, ["source", "size"], ["first"]), rates, ["source"], ["source_size", "target"])
-    firsts = cut(firsts.withColumn("_fl_first", F.col("first") + F.col("inside")).select("source", "size", "_fl_block", "_fl_first", "source_size", "target"), "first-ranks")
-    placed = same(rows, firsts, ["source", "size", "_fl_block"], ["_fl_first", "source_size", "target"])
-    within = Window.partitionBy("source", "size", "_fl_block").orderBy(F.col("doc_id").asc_nulls_last())
-    rank = F.col("_fl_first") + F.row_number().over(within) - 1
-    ranked = placed.withColumn("_fl_rank", rank)
-    return ranked.withColumn("copies", copies("_fl_rank", "target", "source_size", seed)).drop("_fl_rank", "_fl_first", "_fl_block")
+    made = ["size", "source_size", "target", "copies"]
+    own = [c for c in docs.columns if c.startswith("_fl_")]
+    rows = docs.drop(*made, *own).withColumns({"size": words_of("text"), "_fl_block": block_of("doc_id"), "_fl_none": F.col("source").isNull(), "_fl_source": F.coalesce("source", F.lit(""))})
+    # a null source is told by the flag, so that joins and windows have plain keys and share one exchange
+    of = ["_fl_none", "_fl_source"]
+    counts = cut(rows.groupBy(*of, "size", "_fl_block").agg(F.count("*").alias("n")), "counts")
+    sums = counts.groupBy(*of).agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    named = sums.withColumn("source", F.when(~F.col("_fl_none"), F.col("_fl_source")))
+    rates = targets(named.select("source", "source_size"), weights, most).withColumns({"_fl_none": F.col("source").isNull(), "_fl_source": F.coalesce("source", F.lit(""))}).drop("source")
+    by_size = counts.groupBy(*of, "size").agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy(*of).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    by_size = by_size.select(*of, "size", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("first"))
+    inner = Window.partitionBy(*of, "size").orderBy("_fl_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.select(*of, "size", "_fl_block", F.coalesce(F.sum("n").over(inner), F.lit(0)).alias("inside"))
+    firsts = blocks.join(by_size, [*of, "size"]).join(rates, of).withColumn("_fl_first", F.col("first") + F.col("inside")).drop("first", "inside")
+    placed = rows.join(cut(firsts, "first-ranks"), [*of, "size", "_fl_block"])
+    drop(counts)
+    within = Window.partitionBy(*of, "size", "_fl_block").orderBy(F.col("doc_id").asc_nulls_last())
+    ranked = placed.withColumn("_fl_rank", F.col("_fl_first") + F.row_number().over(within) - 1)
+    mixed = ranked.withColumn("copies", copies("_fl_rank", "target", "source_size", seed))
+    return mixed.select(*rows.drop("size", "_fl_block", *of).columns, *made)
+
+
+def block_of(doc_id: str):
+    """A block of 0 to BLOCKS - 1 by multiplicative hashing, in arithmetic that SQL has too; BLOCKS for a null."""
+    mixed = F.pmod(F.col(doc_id).cast("long"), F.lit(1 << 31)) * F.lit(FACTOR)
+    return F.coalesce(F.shiftright(mixed, 24) % BLOCKS, F.lit(BLOCKS)).cast("int")
 
 
 def copies(rank: str, target: str, size: str, seed: int):
@@ -118,7 +122,7 @@ def oracle_sql(weights=WEIGHTS, most: int = MOST, seed: int = SEED) -> str:
     return f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
-         coalesce(((doc_id % {BLOCKS}) + {BLOCKS}) % {BLOCKS}, {BLOCKS}) AS block
+         coalesce(((((doc_id % 2147483648) + 2147483648) % 2147483648 * {FACTOR}) // 16777216) % {BLOCKS}, {BLOCKS}) AS block
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (

@@ -9,11 +9,8 @@ keys of candidate buckets; the collision-corrected Jaccard estimate of the
 registers discards what is far from the threshold; what remains is confirmed on
 the full sets. Confirmed links are joined to components.
 
-Buckets are searched without forming all pairs: each member is compared with
-its bucket's smallest member, then again with members drawn anew while that
-joins components. Buckets that hold several components in the end are searched
-completely, by a join whose condition reads four bits of each register, so only
-pairs that may be links become rows.
+Buckets are searched as :func:`graph.search` says; the condition of its complete
+search reads four bits of each register, so only pairs that may be links become rows.
 
 Candidate recall: two sets of similarity J share a band with probability
 1 - (1 - J**8)**32, that is 0.99996 at 0.85 and more above.
@@ -29,17 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop, map_arrow
-from .graph import connected_components, crossing_pairs, crossing_work, only_listed, open_buckets, reseeded_pairs, star_pairs
+from .graph import only_listed, search
 from .textarrays import mix, pieces, shingle_sets
 
 BUCKETS, ROWS, MANTISSA = 256, 8, 10
 SHINGLE = 5
 #: Estimates below the threshold by more than this many standard errors are discarded.
 SIGMAS = 4.0
-#: While more pairs than this are left to look at, at most RESEEDS passes draw new partners
-#: and join components first; the complete search follows in any case.
-CROSSING_WORK = 100_000_000
-RESEEDS = 3
+#: Partners left to a member on average from which it meets newly drawn ones before the complete search.
+CROSSING_WORK = 8
 
 
 def registers(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -103,15 +98,15 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
     return j_hat, np.sqrt(np.maximum(j_hat * (1 - j_hat), 0.02) / total)
 
 
-SKETCH_DDL = "doc_id long, n_shingles long, f1 long, f2 long, regs binary"
+SKETCH_DDL = "doc_id long, of_text long, n_shingles long, f1 long, f2 long, regs binary"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Set size, 128-bit set fingerprint and registers of every whole text."""
+    """Hash of the text, set size, 128-bit set fingerprint and registers of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, stop, texts in pieces(batch.column(1)):
+            for row, stop, texts in pieces(batch.column(2)):
                 values, limits = shingle_sets(texts, SHINGLE)
                 size = np.diff(limits)
                 owner = np.repeat(np.arange(texts.n), size)
@@ -121,9 +116,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                     prints.append((sums[limits[1:]] - sums[limits[:-1]]).view(np.int64))
                 regs = registers(values, owner, texts.n)
                 blob = pa.Array.from_buffers(pa.binary(), texts.n, [None, pa.py_buffer(np.arange(texts.n + 1, dtype=np.int32) * (2 * BUCKETS)), pa.py_buffer(regs.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[row:stop], pa.array(size), pa.array(prints[0]), pa.array(prints[1]), blob], ["doc_id", "n_shingles", "f1", "f2", "regs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[row:stop], batch.column(1)[row:stop], pa.array(size), pa.array(prints[0]), pa.array(prints[1]), blob], ["doc_id", "of_text", "n_shingles", "f1", "f2", "regs"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, SKETCH_DDL)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("of_text"), "text"), run, SKETCH_DDL)
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -194,20 +189,17 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``id, shingles``: the whole sorted set of each class that occurs in ``pairs``."""
-    ids = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct().join(classes.select("id", "f1", "f2"), "id"), "asked")
-    candidates = only_listed(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, "id")
-    texts = candidates.join(ids.hint("merge"), "id").select("id", "f1", "f2", "text")
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    asked = cut(ids.join(classes.select("id", "owner", "of_text"), "id"), "asked")
+    candidates = only_listed(docs.select(F.col("doc_id").cast("long").alias("owner"), "text"), asked, "owner")
+    texts = candidates.withColumn("of_text", F.xxhash64("text")).join(asked.hint("merge"), ["owner", "of_text"]).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f1 = batch.column(1).to_numpy()
-            for row, stop, texts in pieces(batch.column(3)):
+            for row, stop, texts in pieces(batch.column(1)):
                 values, limits = shingle_sets(texts, SHINGLE)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values ^ np.uint64(0x243F6A8885A308D3)))])
-                same = (sums[limits[1:]] - sums[limits[:-1]]).view(np.int64) == f1[row:stop]
-                raw = [values[limits[i] : limits[i + 1]].tobytes() if same[i] else None for i in range(texts.n)]
-                made = pa.RecordBatch.from_arrays([batch.column(0)[row:stop], pa.array(raw, pa.binary())], ["id", "shingles"])
-                yield made.filter(pa.array(same))
+                raw = [values[limits[i] : limits[i + 1]].tobytes() for i in range(texts.n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[row:stop], pa.array(raw, pa.binary())], ["id", "shingles"])
 
     return map_arrow(texts, run, "id long, shingles binary")
 
@@ -230,64 +222,72 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both, run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id``, ``text``).
+def near_groups(docs: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, of_text (hash of the text), n_shingles, component_id, first`` for every row.
 
-    Two documents are linked if 100 * |intersection| >= ``percent`` * |union| of
-    their shingle sets. A null or wordless text has no shingles and is linked with
-    nothing. ``component_id`` is the smallest ``doc_id`` reachable by links, and
-    ``kept`` marks the document that has it. Rows that repeat a ``doc_id`` and text
-    get equal results; a null ``doc_id`` is a component of its own and kept.
-    Other columns are not read; an empty table gives no rows.
+    ``first`` is true for one text of each component, of the smallest ``doc_id``.
+    A class of texts with equal sets is named by the first half of its fingerprint;
+    classes that share it take a name of their own.
     """
     sketch = cut(sketches(docs), "sketch")
     named = sketch.where("doc_id is not null and n_shingles > 0")
-    owners = named.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"))
-    owners = cut(owners, "owners")
-    own = owners.select("f1", "f2", "n_shingles", F.col("id").alias("doc_id"))
-    classes = named.join(own, ["f1", "f2", "n_shingles", "doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "f1", "f2", "regs")
-    classes = cut(classes.dropDuplicates(["id", "f1", "f2"]), "classes")
+    owners = cut(named.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("owner")), "owners")
+    first = owners.groupBy("f1").agg(F.min("f2").alias("_fl_f2"), F.count("*").alias("_fl_n")).where("_fl_n > 1")
+    name = F.when(F.col("_fl_f2").isNull() | (F.col("_fl_f2") == F.col("f2")), F.col("f1")).otherwise(F.xxhash64("f1", "f2", "n_shingles"))
+    owners = cut(owners.join(first, "f1", "left").withColumn("id", name).drop("_fl_f2", "_fl_n"), "classes-named")
+    met = named.withColumnRenamed("doc_id", "owner").join(owners, ["f1", "f2", "n_shingles", "owner"])
+    classes = cut(met.select("id", "owner", "of_text", "n_shingles", "regs").dropDuplicates(["id"]), "classes")
     buckets = banded(classes)
     shared = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     buckets = cut(buckets.join(shared, "key"), "bands")
 
-    def links(pairs: DataFrame, estimated: bool = False) -> DataFrame:
+    def links(pairs: DataFrame, estimated: bool) -> DataFrame:
         likely = pairs if estimated else cut(_likely(pairs, classes, percent), "likely")
         sets = cut(_full_sets(docs, classes, likely), "sets")
         confirmed = cut(_confirmed(likely, sets, percent), "links")
         drop(sets)
         return confirmed
 
-    tried = cut(star_pairs(buckets), "tried")
-    edges = links(tried)
-    groups = cut(connected_components(edges, "a", "b"), "groups")
-    found, turn = edges, 0
-    while True:
-        members = cut(open_buckets(buckets, groups), "open")
-        work = crossing_work(members)
-        if not work:
-            break
-        complete = work <= CROSSING_WORK or turn >= RESEEDS or not found
-        if complete:
-            fresh = crossing_pairs(members, compact(classes, percent), lambda l, r: _possible(l, r, percent))
-        else:
-            fresh = reseeded_pairs(members, turn)
-        fresh = cut(fresh.join(tried, ["a", "b"], "left_anti"), "fresh")
-        found = None if fresh.isEmpty() else links(fresh, estimated=complete)
-        if found is not None and found.isEmpty():
-            found = None
-        if found is not None:
-            joined = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found)
-            groups = cut(connected_components(joined, "a", "b"), "groups")
-        if complete:
-            break
-        tried = tried.unionAll(fresh)
-        turn += 1
-
-    by_class = owners.join(groups.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component"))
-    result = sketch.join(by_class, ["f1", "f2", "n_shingles"], "left")
-    component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    def admitted(members: DataFrame):
+        return compact(classes, percent), lambda l, r: _possible(l, r, percent)
+
+    groups = search(buckets, links, admitted, CROSSING_WORK, "near")
+    drop(buckets)
+    placed = owners.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = cut(placed, "placed")
+    least = placed.groupBy("component").agg(F.min("owner").alias("component_id"))
+    heads = placed.join(least, "component").where("owner = component_id").groupBy("component", "component_id").agg(F.min("id").alias("head"))
+    by_class = placed.join(heads, "component").select("f1", "f2", "n_shingles", "component_id", (F.col("id") == F.col("head")).alias("is_head"))
+    result = sketch.drop("regs").join(cut(by_class, "by-class"), ["f1", "f2", "n_shingles"], "left")
+    found = F.col("component_id").isNotNull() & F.col("doc_id").isNotNull()
+    component = F.when(found, F.col("component_id")).otherwise(F.col("doc_id"))
+    first = F.when(found, F.col("is_head") & (F.col("doc_id") == F.col("component_id"))).otherwise(True)
+    return result.select("doc_id", "of_text", "n_shingles", component.alias("component_id"), first.alias("first"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id``, ``text``).
+
+    Two documents are linked if 100 * |intersection| >= ``percent`` * |union| of
+    their shingle sets. A null or wordless text has no shingles and is linked with
+    nothing. ``component_id`` is the smallest ``doc_id`` reachable by links (there are no ties between ids), and
+    ``kept`` marks the document that has it. Rows that repeat a ``doc_id`` and text
+    get equal results; different texts of one ``doc_id`` are looked at each for itself. A null ``doc_id`` is a component
+    of its own and kept. Other columns are not read, whatever their names; an empty table gives no rows.
+    """
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return near_groups(docs, percent).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without those that have a near-duplicate of a smaller ``doc_id``.
+
+    A row is told by ``doc_id`` and text. Of near-duplicates with one ``doc_id``, one text stays;
+    rows that repeat both all stay, as do rows without ``doc_id`` or words.
+    """
+    gone = near_groups(docs, percent).where("not first").select(F.col("doc_id").alias("_fl_gone"), F.col("of_text").alias("_fl_of")).distinct()
+    gone = cut(gone, "near-gone")
+    return docs.join(gone, (docs["doc_id"] == gone["_fl_gone"]) & (F.xxhash64(docs["text"]) == gone["_fl_of"]), "left_anti")
 
 
 def _lanes(x):

@@ -126,7 +126,8 @@ def normal(line):
 
 
 def line_shingles(line):
-    return frozenset(m[1] for m in re.finditer(r"(?s)(?:^|[ \t\x0b\x0c\r])(?=([^ \t\x0b\x0c\r].{0,11}))", line))
+    """Every run of five characters; a shorter line is one."""
+    return frozenset(zip(*(line[i:] for i in range(5)))) if len(line) > 5 else frozenset([line])
 
 
 def expected_lines(texts):
@@ -145,14 +146,52 @@ def expected_lines(texts):
     return out
 
 
-def test_lines(spark, docs):
+@pytest.fixture(scope="module")
+def line_texts(docs):
+    """Documents, families of similar lines, addresses and lines without blanks."""
     rng = random.Random(2)
     texts = {r.doc_id: r.text for r in docs.limit(60).collect()}
     base = "the quick brown fox jumps over the lazy dog near the old river bank in spring".split()
     for i in range(40):
         texts[10_000 + i] = "\n".join([edited(rng, base, rng.choice([0, 1, 1, 2, 4])), f"own line number {i} {i * 7919}", "", "Copyright  2020 "])
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    assert got == expected_lines(texts)
+    url = "https://www.alpha.example/news/2020/the-long-title-of-an-article?page="
+    texts[20_000] = "\n".join([url + "1", "https://www.beta.example/shop/77?id=5", "https://www.alpha.example/other", "今天天气很好我们一起去公园散步吧然后回家吃晚饭"])
+    texts[20_001] = "\n".join([url + "2", "https://www.beta.example/", "今天天气很好我们一起去公园但是突然下起了大雨所以只好取消", "今天天气很好我们一起去公园散步吧然后回家吃晚飯"])
+    for i in range(30):
+        words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randrange(1000)}" for _ in range(rng.choice([5, 20, 22, 60, 300]))]
+        texts[30_000 + 2 * i], texts[30_001 + 2 * i] = " ".join(words), edited(rng, words, rng.choice([1, 1, 2, 6]))
+    return texts
+
+
+def deduped(spark, texts):
+    return {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+
+
+def test_lines(spark, line_texts):
+    assert deduped(spark, line_texts) == expected_lines(line_texts)
+
+
+def test_lines_by_another_course(spark, line_texts, monkeypatch):
+    """Passes with new partners, bucket blocks and lines whose names collide change nothing."""
+    monkeypatch.setattr(line_dedup, "CROSSING_WORK", 0)
+    monkeypatch.setattr(line_dedup, "NAME_BITS", 63)
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    assert deduped(spark, line_texts) == expected_lines(line_texts)
+
+
+def test_line_links_recalled(spark):
+    """Of pairs at 0.8 to 0.9, in sets of all sizes, at least 0.97 share a band."""
+    rng = np.random.default_rng(7)
+    for n in (12, 40, 100, 118, 130, 500):
+        rows = []
+        for i in range(200):
+            union = rng.integers(-(2**63), 2**63, n, dtype=np.int64)
+            apart = max(1, round(n * 0.19))
+            rows.append((i, union[: n - apart // 2].tolist(), np.delete(union, np.arange(apart - apart // 2)).tolist()))
+        df = spark.createDataFrame(rows, "i int, a array<long>, b array<long>")
+        met = df.where("size(array_intersect(a, b)) * 100 >= 80 * size(array_union(a, b))")
+        found = met.withColumns({"x": line_dedup.band_keys(met.a), "y": line_dedup.band_keys(met.b)}).where("arrays_overlap(x.keys, y.keys)")
+        assert met.count() > 150 and found.count() >= 0.97 * met.count(), n
 
 
 def test_lines_odd(spark, odd, nothing):
