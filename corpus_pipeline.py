@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feloom.llm.common import cut, table
+from feloom.llm.common import cut, drop, scratch, table
 from feloom.llm.language_id import reject_unidentified
 from feloom.llm.line_dedup import dedup_lines
 from feloom.llm.mixing import emit, mix
-from feloom.llm.near_dedup import near_duplicates
+from feloom.llm.near_dedup import without_near_duplicates
 from feloom.llm.packing import pack
 
 
@@ -27,7 +27,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated or similar lines; a document that loses all its lines goes."""
+    """Texts without repeated or similar lines; a document that loses all its lines goes.
+
+    A text without a line, null ones too, stays as it is; rows that repeat ``doc_id`` and text lose the same lines.
+    """
     columns = docs.columns
     cleaned = dedup_lines(docs)
     kept = cleaned.where("n_removed = 0 or text <> ''")
@@ -38,20 +41,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates.
 
-    What goes is listed first, so the anti-join reads a table of known size.
+    Texts without words, null ones too, and rows without ``doc_id`` stay; rows that repeat ``doc_id`` and text stay or go together.
     """
-    gone = cut(near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select(F.col("doc_id").alias("_fl_gone")).distinct(), "near-gone")
-    return docs.join(gone, docs["doc_id"] == gone["_fl_gone"], "left_anti")
+    return without_near_duplicates(docs, NEAR_PERCENT)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of their sources asks for."""
+    """Documents as often as the mixture of their sources asks for.
+
+    A null source is a source; each of repeated rows counts for itself, and a text without words has no size and takes part by its rank alone.
+    """
     columns = docs.columns
     return emit(mix(docs)).select(*columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
+    """Pieces of documents in training sequences; a null text is an empty one, and repeated rows are packed each."""
     return pack(docs)
 
 
@@ -64,6 +69,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        keep: list[DataFrame] = []
+        with scratch(spark, keep):  # what a stage wrote on its way goes when its result is written
+            docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep.append(docs)
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
