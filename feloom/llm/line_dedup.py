@@ -1,4 +1,4 @@
-"""Fuzzy line deduplication by MinHash, in DataFrame operations only.
+"""Fuzzy line deduplication by MinHash.
 
 A line is compared without case and outer spaces. Its set is the hashes of the
 ``SHINGLE_CHARS`` characters that begin at each of its characters; a shorter
@@ -8,15 +8,19 @@ many common hashes follow each other in both signatures.
 
 - Sets of at most ``DENSE`` hashes: every run of 4 in the 24 smallest.
 - Sets of at least 0.8 * ``DENSE``: of the 64 smallest, the runs of 5 that begin
-  with a hash whose two lowest bits are 0.
+  with a multiple of 5.
 
 Similar sets differ in size by less than a fifth, so any two that can be linked
 have one of the rules in common. At a similarity of 0.8 the rules find a pair with
-a probability of 0.99, at 0.9 of 0.9998. Lines that meet
+a probability of 0.98, at 0.85 of 0.99. Lines that meet
 are verified by the exact Jaccard similarity of their whole sets; verified links
 are joined to components by distributed union-find; one line of each component
 stays, the one that comes first by ``doc_id`` and place.
 
+Lines, buckets, union-find and the new texts are DataFrame operations. Shingles are not: as array functions
+they alone take more than the whole budget of the check tool (see the README), so Arrow batches make
+signatures and compare sets.
+
 Equal lines are one node from the start, so copies of any number cost one row
 each. Nodes are named by 64-bit hashes of the lines, and a second hash tells lines apart that
 share the first: they get names of their own. Buckets are searched as :func:`graph.search` says.
@@ -24,17 +28,22 @@ share the first: they get names of their own. Buckets are searched as :func:`gra
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import cut, drop, map_arrow
 from .graph import only_listed, search
+from .textarrays import Texts, mix, pieces
 
 SHINGLE_CHARS = 5
 #: Signature length and run length of small sets, and of large ones; see above.
 SMALL, SMALL_RUN = 24, 4
-LARGE, LARGE_RUN = 64, 5
-DENSE = 120
+LARGE, LARGE_RUN, STEP = 64, 5, 5
+DENSE = 80
 PERCENT = 80
 #: Partners left to a member on average from which it meets newly drawn ones before the complete search.
 CROSSING_WORK = 8
@@ -43,11 +52,6 @@ SPACES = " \t\x0b\x0c\r"
 NAME_BITS = -1
 
 
-def _once(value, use) -> Column:
-    """``use(value)`` with ``value`` computed once: the element of an array is no expression that Spark repeats."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def normal_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, _fl_text (hash of the text), place, norm, line, twin``: the lines with a word and two hashes of ``norm``."""
     text = F.coalesce("text", F.lit(""))
@@ -56,45 +60,82 @@ def normal_lines(docs: DataFrame) -> DataFrame:
     return lines.withColumns({"line": F.xxhash64("norm").bitwiseAND(F.lit(NAME_BITS)), "twin": F.xxhash64("norm", F.lit(1))})
 
 
-def shingle_hashes(norm) -> Column:
-    """The distinct shingle hashes of a normal line. In UTF-32 a character has four bytes, so each shingle is found by its place."""
-    width = 4 * SHINGLE_CHARS
-    starts = lambda e: F.sequence(F.lit(1), F.greatest(F.length(e) - (width - 1), F.lit(1)), F.lit(4))
-    col = F.col(norm) if isinstance(norm, str) else norm
-    return _once(F.encode(col, "UTF-32"), lambda e: F.array_distinct(F.transform(starts(e), lambda i: F.xxhash64(F.substr(e, i, F.lit(width))))))
-
-
-def _runs(ordered, at, size: int) -> Column:
-    return F.transform(at, lambda i: F.xxhash64(F.slice(ordered, i, F.lit(size))))
-
-
-def band_keys(hashes) -> Column:
-    """``n`` (the size of the set) and its band ``keys``."""
-
-    def places(s, run: int):
-        return F.sequence(F.lit(1), F.greatest(F.size(s) - (run - 1), F.lit(1)))
-
-    def dense(s):
-        return _runs(s, places(s, SMALL_RUN), SMALL_RUN)
+def shingles(lines: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each shingle of each line, repeated ones too, and the number of its line, ascending."""
+    starts = np.flatnonzero((lines.data & 0xC0) != 0x80)  # bytes that begin a character
+    owner = np.searchsorted(lines.limits, starts, "right") - 1
+    ends = np.full(len(starts), len(lines.data), np.int64)
+    ends[:-SHINGLE_CHARS] = starts[SHINGLE_CHARS:]
+    ends = np.minimum(ends, lines.limits[owner + 1])
+    first = np.searchsorted(owner, np.arange(lines.n + 1))
+    whole = np.ones(len(starts), bool)
+    last = first[1:] - np.minimum(first[1:] - first[:-1], SHINGLE_CHARS - 1)
+    for back in range(SHINGLE_CHARS - 1):  # no shingle begins at the last four characters, but for the first of a short line
+        at = last + back
+        at = at[(at < first[1:]) & (at > first[:-1])]
+        whole[at] = False
+    starts, ends, owner = starts[whole], ends[whole], owner[whole]
+    return lines.hashes(starts, ends), owner
+
+
+#: Bits of a hash that signatures and first comparisons use; the number of a line takes the others.
+LOW = 42
+#: Lines handled together, and bytes of text (more only if one line alone is longer).
+MOST_LINES = 1 << (63 - LOW)
+
+
+def line_pieces(column: pa.Array, most: int = MOST_LINES) -> Iterator[tuple[int, int, Texts]]:
+    for row, stop, lines in pieces(column):
+        for at in range(0, lines.n, most):
+            end = min(lines.n, at + most)
+            limits = lines.limits[at : end + 1]
+            yield row + at, row + end, Texts(lines.data[limits[0] : limits[-1]], limits - limits[0])
+
+
+def sorted_sets(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes (their upper ``LOW`` bits), ascending within each line, their lines and the size of each set."""
+    values = np.sort((owner.astype(np.uint64) << np.uint64(LOW)) | (hashes >> np.uint64(64 - LOW)))
+    if len(values):
+        values = values[np.concatenate([[True], values[1:] != values[:-1]])]
+    owner = (values >> np.uint64(LOW)).astype(np.int64)
+    return values & np.uint64((1 << LOW) - 1), owner, np.bincount(owner, minlength=n)
+
+
+def band_keys(values: np.ndarray, owner: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bands and their lines, for sets as :func:`sorted_sets` gives them."""
+    begin = np.concatenate([[0], np.cumsum(size)])
+    rank, of = np.arange(len(values)) - begin[owner], size[owner]
+
+    def runs(at: np.ndarray, length: int) -> np.ndarray:
+        key = np.full(len(at), length, np.uint64)
+        for i in range(length):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[at + i])
+        return key
+
+    small = np.flatnonzero((of <= DENSE) & (rank + SMALL_RUN <= np.minimum(of, SMALL)))
+    large = np.flatnonzero((5 * of >= 4 * DENSE) & (rank + LARGE_RUN <= np.minimum(of, LARGE)) & (values % np.uint64(STEP) == 0))
+    parts = [(runs(small, SMALL_RUN), owner[small]), (runs(large, LARGE_RUN), owner[large])]
+    for n in range(1, SMALL_RUN):
+        at = np.flatnonzero((of == n) & (rank == 0))
+        parts.append((runs(at, n), owner[at]))
+    return np.concatenate([k for k, _ in parts]), np.concatenate([o for _, o in parts])
 
-    def sparse(s):
-        return _runs(s, F.filter(places(s, LARGE_RUN), lambda i: F.get(s, i - 1).bitwiseAND(F.lit(3)) == 0), LARGE_RUN)
 
-    def of(s):
-        n = F.size(s)
-        none = F.array().cast("array<bigint>")
-        small = F.when(n <= DENSE, _once(F.slice(s, 1, SMALL), dense)).otherwise(none)
-        large = F.when(n * 5 >= DENSE * 4, _once(F.slice(s, 1, LARGE), sparse)).otherwise(none)
-        return F.struct(n.alias("n"), F.concat(small, large).alias("keys"))
-
-    return _once(F.sort_array(hashes), of)
+def keyed_lines(docs: DataFrame) -> DataFrame:
+    """The lines as a narrow table, ``doc_id, _fl_text, place, line, twin, keys``: the one pass that makes shingles of all."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, stop, lines in line_pieces(batch.column(5)):
+                values, owner, size = sorted_sets(*shingles(lines), lines.n)
+                keys, of = band_keys(values, owner, size)
+                order = np.argsort(of, kind="stable")
+                limits = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=lines.n))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(limits), pa.array(keys[order].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[row:stop] for i in range(5)), lists], ["doc_id", "_fl_text", "place", "line", "twin", "keys"])
 
-def keyed_lines(docs: DataFrame) -> DataFrame:
-    """The lines as a narrow table, ``doc_id, _fl_text, place, line, twin, n, keys``: the one pass that makes shingles of all."""
-    lines = normal_lines(docs)
-    made = lines.select("doc_id", "_fl_text", "place", "line", "twin", band_keys(shingle_hashes("norm")).alias("made"))
-    return cut(made.select("doc_id", "_fl_text", "place", "line", "twin", "made.*"), "lines")
+    lines = normal_lines(docs).select(F.col("doc_id").cast("long"), "_fl_text", "place", "line", "twin", "norm")
+    return cut(map_arrow(lines, run, "doc_id long, _fl_text long, place int, line long, twin long, keys array<long>"), "lines")
 
 
 def named_lines(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -129,40 +170,74 @@ def texts_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return known.unionAll(rest).groupBy("id").agg(F.min("norm").alias("norm"))
 
 
+def _linked(a: Texts, b: Texts, percent: int) -> np.ndarray:
+    """Which lines of ``a`` and ``b`` in the same place have sets of that similarity.
+
+    Sets of ``LOW`` bits of each hash decide what is compared by whole hashes: few
+    of them agree by chance, and each takes at most one from what is common or differs.
+    """
+    (ha, oa), (hb, ob) = shingles(a), shingles(b)
+    (va, oa_, na), (vb, ob_, nb) = sorted_sets(ha, oa, a.n), sorted_sets(hb, ob, b.n)
+    tag = np.uint64(LOW)
+    both = np.sort(np.concatenate([(oa_.astype(np.uint64) << tag) | va, (ob_.astype(np.uint64) << tag) | vb]))
+    common = np.bincount((both[1:][both[1:] == both[:-1]] >> tag).astype(np.int64), minlength=a.n)
+    likely = (100 + percent) * (common + 4) >= percent * (na + nb)
+    la, lb = np.searchsorted(oa, np.arange(a.n + 1)), np.searchsorted(ob, np.arange(b.n + 1))
+    for i in np.flatnonzero(likely):
+        x, y = np.unique(ha[la[i] : la[i + 1]]), np.unique(hb[lb[i] : lb[i + 1]])
+        merged = np.sort(np.concatenate([x, y]))
+        met = int((merged[1:] == merged[:-1]).sum())
+        likely[i] = 100 * met >= percent * (len(merged) - met)
+    return likely
+
+
 def verified_links(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose exact similarity reaches ``percent``."""
     a, b = (texts.select(F.col("id").alias(s), F.col("norm").alias(f"t{s}")) for s in "ab")
-    both = pairs.join(a, "a").join(b, "b")
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
 
-    def linked(s):
-        na, nb = F.size(s["x"]), F.size(s["y"])
-        return F.when(100 * F.least(na, nb) < percent * F.greatest(na, nb), False).otherwise((100 + percent) * F.size(F.array_intersect(s["x"], s["y"])) >= percent * (na + nb))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = np.zeros(batch.num_rows, bool)
+            for row, stop, x in line_pieces(batch.column(2)):
+                for at, end, y in line_pieces(batch.column(3)[row:stop]):
+                    some = Texts(x.data[x.limits[at] : x.limits[end]], x.limits[at : end + 1] - x.limits[at])
+                    linked[row + at : row + end] = _linked(some, y, percent)
+            yield batch.filter(pa.array(linked)).select(["a", "b"])
 
-    sets = F.struct(shingle_hashes("ta").alias("x"), shingle_hashes("tb").alias("y"))
-    return cut(both.where(_once(sets, linked)).select("a", "b"), "line-links")
+    return cut(map_arrow(both, run, "a long, b long").distinct(), "line-links")
 
 
 #: Longs of the bitmap that :func:`set_facts` makes of a set.
 WORDS = 8
 
 
-def set_facts(hashes) -> Column:
-    """``n, x0..``: set size and a bitmap whose bits tell whether an odd number of the set's hashes fall on them."""
-    word = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(WORDS - 1))
-    mark = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+def set_facts(texts: DataFrame) -> DataFrame:
+    """``id, n, x0..``: set size and a bitmap whose bits tell whether an odd number of the set's hashes fall on them."""
+    names = ["id", "n", *(f"x{i}" for i in range(WORDS))]
 
-    def parity(i: int):
-        return F.aggregate(F.filter(hashes, lambda h: word(h) == i), F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(mark(h)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, stop, lines in line_pieces(batch.column(1), 4096):
+                values, owner, size = sorted_sets(*shingles(lines), lines.n)
+                bits = 64 * WORDS
+                odd = np.bincount(owner * bits + (values % np.uint64(bits)).astype(np.int64), minlength=lines.n * bits) & 1
+                words = np.packbits(odd.astype(np.uint8).reshape(lines.n, bits), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[row:stop], pa.array(size), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS))], names)
 
-    return F.struct(F.size(hashes).alias("n"), *[parity(i).alias(f"x{i}") for i in range(WORDS)])
+    made = map_arrow(texts.select("id", "norm"), run, ", ".join(f"{n} long" for n in names))
+    return cut(made, "line-facts")
 
 
 def _possible(l: str, r: str, percent: int):
-    """Whether sizes and bitmaps allow a link. A differing bit needs a hash that only one set has, so no link is lost."""
+    """Whether sizes and bitmaps allow a link, with room for two hashes that agree in their first bits by chance.
+
+    A differing bit needs a hash that only one set has, so no link is lost.
+    """
     na, nb = F.col(f"{l}.n"), F.col(f"{r}.n")
-    near = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    near = 100 * (F.least(na, nb) + 2) >= percent * F.greatest(na, nb)
     differ = sum(F.bit_count(F.col(f"{l}.x{i}").bitwiseXOR(F.col(f"{r}.x{i}"))) for i in range(WORDS))
-    return near & ((100 + percent) * differ <= (100 - percent) * (na + nb))
+    return near & ((100 + percent) * differ <= (100 - percent) * (na + nb + 4))
 
 
 def line_groups(docs: DataFrame, keyed: DataFrame, owners: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -176,8 +251,7 @@ def line_groups(docs: DataFrame, keyed: DataFrame, owners: DataFrame, percent: i
 
     def admitted(members: DataFrame):
         some = texts.join(members.select("id").distinct(), "id", "left_semi")
-        facts = cut(some.select("id", _once(shingle_hashes("norm"), set_facts).alias("facts")).select("id", "facts.*"), "line-facts")
-        return facts, lambda l, r: _possible(l, r, percent)
+        return set_facts(some), lambda l, r: _possible(l, r, percent)
 
     groups = search(buckets, lambda pairs, _: verified_links(texts, pairs, percent), admitted, CROSSING_WORK, "line")
     drop(texts)
