@@ -60,32 +60,55 @@ def normal_lines(docs: DataFrame) -> DataFrame:
     return lines.withColumns({"line": F.xxhash64("norm").bitwiseAND(F.lit(NAME_BITS)), "twin": F.xxhash64("norm", F.lit(1))})
 
 
+_FACTOR = np.uint64(0x9FB21C651E98DF25)
+
+
+def code_points(lines: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all lines and their limits; a byte that is no UTF-8 is one code point."""
+    raw = lines.data.tobytes()
+    points = np.frombuffer(raw.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(points) == len(raw):
+        return points, lines.limits
+    seen = np.concatenate([[0], np.cumsum((lines.data & 0xC0) != 0x80)])
+    if seen[-1] == len(points):
+        return points, seen[lines.limits]
+    sizes = [len(raw[a:b].decode("utf-8", "surrogateescape")) for a, b in zip(lines.limits[:-1], lines.limits[1:])]
+    return points, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
 def shingles(lines: Texts) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each shingle of each line, repeated ones too, and the number of its line, ascending."""
-    starts = np.flatnonzero((lines.data & 0xC0) != 0x80)  # bytes that begin a character
-    owner = np.searchsorted(lines.limits, starts, "right") - 1
-    ends = np.full(len(starts), len(lines.data), np.int64)
-    ends[:-SHINGLE_CHARS] = starts[SHINGLE_CHARS:]
-    ends = np.minimum(ends, lines.limits[owner + 1])
-    first = np.searchsorted(owner, np.arange(lines.n + 1))
-    whole = np.ones(len(starts), bool)
-    last = first[1:] - np.minimum(first[1:] - first[:-1], SHINGLE_CHARS - 1)
-    for back in range(SHINGLE_CHARS - 1):  # no shingle begins at the last four characters, but for the first of a short line
-        at = last + back
-        at = at[(at < first[1:]) & (at > first[:-1])]
-        whole[at] = False
-    starts, ends, owner = starts[whole], ends[whole], owner[whole]
-    return lines.hashes(starts, ends), owner
+    points, limits = code_points(lines)
+    size = np.diff(limits)
+    owner = np.repeat(np.arange(lines.n), size)
+    padded = np.zeros(len(points) + SHINGLE_CHARS, np.uint64)
+    padded[: len(points)] = points
+    padded[: len(points)] += np.uint64(1)
+    total = padded[: len(points)].copy()
+    for i in range(1, SHINGLE_CHARS):
+        total *= _FACTOR
+        total += padded[i : i + len(points)]
+    whole = np.ones(len(points), bool)
+    for back in range(SHINGLE_CHARS - 1):  # nothing begins at the last four characters
+        whole[limits[1:][size > back] - 1 - back] = False
+    for n in range(1, SHINGLE_CHARS):  # but a shorter line is one shingle
+        first = limits[:-1][size == n]
+        short = np.full(len(first), n, np.uint64)
+        for i in range(n):
+            short = short * _FACTOR + padded[first + i]
+        total[first], whole[first] = ~short, True
+    return mix(total[whole]), owner[whole]
 
 
 #: Bits of a hash that signatures and first comparisons use; the number of a line takes the others.
 LOW = 42
 #: Lines handled together, and bytes of text (more only if one line alone is longer).
 MOST_LINES = 1 << (63 - LOW)
+PIECE = 1 << 18
 
 
 def line_pieces(column: pa.Array, most: int = MOST_LINES) -> Iterator[tuple[int, int, Texts]]:
-    for row, stop, lines in pieces(column):
+    for row, stop, lines in pieces(column, PIECE):
         for at in range(0, lines.n, most):
             end = min(lines.n, at + most)
             limits = lines.limits[at : end + 1]
