@@ -209,13 +209,13 @@ for _name, _sql in (("coomul", "x * y"), ("semisum", "(x + y) / 2"), ("semidiff"
 
 @query(
     """
-WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS pos FROM embeddings WHERE vec_id < 200),
+WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS pos FROM embeddings),
      a AS (SELECT vec_id, pos // 8 AS i, pos % 8 AS k, x FROM e), b AS (SELECT vec_id, pos // 8 AS k, pos % 8 AS j, x FROM e)
 SELECT a.vec_id, a.i * 8 + b.j AS place, round(sum(a.x * b.x), 3) + 0.0::DOUBLE AS v FROM a JOIN b ON a.vec_id = b.vec_id AND a.k = b.k GROUP BY a.vec_id, a.i, b.j"""
 )
 def matmul_mat(spark, sf):
-    """Each of the first vectors as an 8 x 8 matrix, squared."""
-    e = load(spark, sf, "embeddings").where("vec_id < 200").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    """Each vector as an 8 x 8 matrix, squared."""
+    e = load(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
     made = e.select("vec_id", F.posexplode(vectors.matmul("a", "a")).alias("place", "v"))
     return made.select("vec_id", F.col("place").cast("bigint").alias("place"), (F.round("v", 3) + F.lit(0.0)).alias("v"))
 
@@ -448,10 +448,10 @@ def intersection(spark, sf):
     return joins.intersect_by(users, load(spark, sf, "orders").select(F.col("o_custkey").alias("user_id")), ["user_id"])
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def subtraction(spark, sf):
     users = load(spark, sf, "events").select("user_id").distinct()
-    return joins.subtract_by(users, load(spark, sf, "orders").select(F.col("o_custkey").alias("user_id")), ["user_id"])
+    return joins.subtract_by(users, load(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("user_id")), ["user_id"])
 
 
 @query("SELECT s_suppkey, n FROM supplier LEFT JOIN (SELECT DISTINCT n_nationkey, n_name AS n FROM nation WHERE n_regionkey < 3) ON s_nationkey = n_nationkey")
@@ -602,7 +602,7 @@ def cumulative_sum(spark, sf):
 
 @query()
 def stratified_sample(spark, sf):
-    return sampling.stratified_sample(load(spark, sf, "events"), ["event_type"], 100, seed=7).select("event_id", "event_type")
+    return sampling.stratified_sample(load(spark, sf, "events"), ["event_type"], 100, seed=7, key=["event_id"]).select("event_id", "event_type")
 
 
 @query()
@@ -734,7 +734,7 @@ def combine_features(spark, sf):
 
     ids = F.transform_keys("m", lambda k, v: F.when(k == "click", "11").when(k == "view", "12").otherwise(F.concat(F.lit("x"), k)))
     rows = _user_maps(spark, sf).withColumn("m", ids)
-    users = load(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"))
+    users = load(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("user_id"))
     made = exports.combine_features(rows, ["user_id"], "f", "gavg(m)", users=users)
     return made.select("user_id", F.explode("score_map").alias("k", "v")).withColumn("v", F.col("v").cast("double"))
 

@@ -6,8 +6,9 @@ import html
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .validity import col
 
@@ -81,3 +82,25 @@ def murmurhash3_32_positive(c) -> Column:
 
 def html_unescape(c) -> Column:
     return _per_value(html.unescape)(col(c))
+
+
+def hash_items(c) -> Column:
+    """Each string of an array by :func:`hash_to_uint32`; a NULL stays one."""
+
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        known = {s: str(string_hash(s)) for items in lists if items is not None for s in items if s is not None}
+        return lists.map(lambda items: None if items is None else [known.get(s) for s in items])
+
+    return run(col(c))
+
+
+def row_hash(df: DataFrame, columns: list[str]) -> Column:
+    """A hash of the values of a row; columns that hold maps, which have no hash, count as JSON."""
+    def holds_map(t: T.DataType) -> bool:
+        if isinstance(t, T.StructType):
+            return any(holds_map(f.dataType) for f in t)
+        return isinstance(t, T.MapType) or isinstance(t, T.ArrayType) and holds_map(t.elementType)
+
+    quoted = {c: F.col(f"`{c}`") for c in columns}
+    return F.xxhash64(*[F.to_json(F.struct(x)) if holds_map(df.schema[c].dataType) else x for c, x in quoted.items()] or [F.lit(0)])

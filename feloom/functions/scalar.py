@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import base64
 import re
 import unicodedata
@@ -84,14 +86,23 @@ def uid2user(uid, uid_type, types: dict[str, tuple[str, str]] = UID_TYPES) -> Co
 def combine(*columns, kind: str) -> Column:
     """Two or more lists, one after the other, or maps, the last value of a key wins; NULL parts are skipped.
 
-    All parts NULL give NULL. Maps need the session's LAST_WIN policy.
+    All parts NULL give NULL.
     """
     if len(columns) < 2:
         raise ValueError("combine needs at least two columns")
     cols = [col(c) for c in columns]
     if kind == "list":
         return F.when(F.coalesce(*cols).isNotNull(), F.concat(*[F.coalesce(c, F.array()) for c in cols]))
-    return F.when(F.coalesce(*cols).isNotNull(), F.map_concat(*[F.coalesce(c, F.map_from_arrays(F.array(), F.array())) for c in cols]))
+    return F.when(F.coalesce(*cols).isNotNull(), merge_maps(*[F.coalesce(c, F.map_from_arrays(F.array(), F.array())) for c in cols]))
+
+
+def merge_maps(first, *others) -> Column:
+    """The entries of all maps; of a key that several have, the last value. Needs no setting of the session."""
+
+    def over(m, later):
+        return F.map_concat(F.map_filter(m, lambda k, v: ~F.map_contains_key(later, k)), later)
+
+    return reduce(over, map(col, others), col(first))
 
 
 def scale(score, lo, hi, low: float, high: float, reverse: bool = False) -> Column:

@@ -35,7 +35,10 @@ class EqualizerModel:
 
 
 def stretch(x: np.ndarray, eps: float) -> np.ndarray:
-    """Map the line to (0, 1): almost linear inside, roots near the ends of [0, 1], arc tangents beyond."""
+    """Map the line to (0, 1): almost linear inside, roots near the ends of [0, 1], arc tangents beyond.
+
+    Fixed formula: results must agree with those of other implementations.
+    """
     delta = eps / (2 * (1 - 3 * eps))
     low, high = delta, 1 - delta
     with np.errstate(invalid="ignore"):

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import array_firstk, is_uint32, map_topk
-from ..functions.hashes import hash_to_uint32
+from ..functions.scalar import array_firstk, is_uint32, map_topk, merge_maps
+from ..functions.hashes import hash_items
 from ..functions.validity import is_finite
 
 KEYS = ("uid", "uid_type", "dt")
@@ -83,7 +83,7 @@ def map_domain(df: DataFrame, name: str, value: str = "float", keys=KEYS) -> Dat
         if isinstance(f.dataType, T.MapType):
             parts.append(F.coalesce(F.col(f.name).cast(kind), F.map_from_arrays(F.array(), F.array()).cast(kind)))
     parts = [F.map_filter(p, lambda k, v: v.isNotNull()) for p in parts]
-    whole = F.map_concat(*parts) if parts else F.map_from_arrays(F.array(), F.array()).cast(kind)
+    whole = merge_maps(*parts) if parts else F.map_from_arrays(F.array(), F.array()).cast(kind)
     return df.select(*_keys(df, keys), F.when(F.size(whole) > 0, whole).alias(name))
 
 
@@ -113,47 +113,42 @@ def source_struct(df: DataFrame, name: str, keys=KEYS) -> DataFrame:
 def transform_feature(df: DataFrame, feature: str, max_size: int = 1000, hashing: bool = False) -> DataFrame:
     """Route a feature to one of ``score, score_list, score_map, cat_list``; the others are NULL.
 
-    Numbers are cast to float; strings to a one-item list. Invalid items and keys
-    that are no uint32 go, unless ``hashing`` turns the keys and strings into
-    uint32. Lists keep their first, maps their largest ``max_size`` entries.
+    Numbers are cast to float, a string to a list of one. A row stays only if it has no NULL, and
+
+    - its number is finite,
+    - its list of numbers has an item and all are finite,
+    - its list of strings has an item, none is NULL, and all are uint32,
+    - its map has a finite value whose key is a uint32; its other entries go.
+
+    ``hashing`` turns strings and keys into uint32 instead of asking for them. Lists
+    keep their first, maps their largest ``max_size`` entries.
     """
     t, x = df.schema[feature].dataType, F.col(feature)
-    as_id = (lambda s: hash_to_uint32(s)) if hashing else (lambda s: F.when(is_uint32(s), s))
     none = {"score": "float", "score_list": "array<float>", "score_map": "map<string,float>", "cat_list": "array<string>"}
-    made: dict[str, Column] = {}
-    frame = df
+    is_id = lambda s: F.coalesce(is_uint32(s), F.lit(False))
+    rows = df.dropna()
     if isinstance(t, T.MapType):
-        frame = frame.withColumn("_e", F.transform(F.map_entries(x), lambda e: F.struct(e["key"].cast("string").alias("k"), e["value"].cast("float").alias("v"))))
+        target = "score_map"
+        entries = F.filter(F.map_entries(x.cast("map<string,float>")), lambda e: is_finite(e["value"]))
         if hashing:
-            frame = _hash_items(frame, "_e", "k")
-        entries = F.filter("_e", lambda e: is_finite(e["v"]) & F.coalesce(is_uint32(e["k"]), F.lit(False)))
-        distinct = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["k"], e["v"])))
-        made["score_map"] = F.when(x.isNotNull(), map_topk(distinct, max_size))
-    elif isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StringType):
-        frame = frame.withColumn("_e", F.transform(x, lambda s: F.struct(s.alias("k"))))
-        if hashing:
-            frame = _hash_items(frame, "_e", "k")
-        items = F.filter(F.transform("_e", lambda e: e["k"]), lambda s: F.coalesce(is_uint32(s), F.lit(False)))
-        made["cat_list"] = F.when(x.isNotNull(), array_firstk(items, max_size))
+            rows = rows.withColumn("_e", entries).withColumn("_k", hash_items(F.transform("_e", lambda e: e["key"])))
+            entries = F.zip_with("_k", "_e", lambda k, e: F.struct(k.alias("key"), e["value"].alias("value")))
+        else:
+            entries = F.filter(entries, lambda e: is_id(e["key"]))
+        rows = rows.withColumn("_x", map_topk(F.map_from_entries(entries), max_size)).where(F.size("_x") > 0).drop("_e", "_k")
+    elif isinstance(t, T.StringType) or isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StringType):
+        target = "cat_list"
+        items = F.array(x) if isinstance(t, T.StringType) else x
+        rows = rows.where((F.size(items) > 0) & ~F.exists(items, lambda s: s.isNull()))
+        rows = rows.withColumn("_x", array_firstk(hash_items(items), max_size)) if hashing else rows.where(F.forall(items, is_id)).withColumn("_x", array_firstk(items, max_size))
     elif isinstance(t, T.ArrayType):
-        made["score_list"] = array_firstk(x.cast("array<float>"), max_size)
-    elif isinstance(t, T.StringType):
-        item = as_id(x)
-        made["cat_list"] = F.when(item.isNotNull(), F.array(item))
+        target = "score_list"
+        rows = rows.withColumn("_x", x.cast("array<float>")).where((F.size("_x") > 0) & F.forall("_x", lambda v: F.coalesce(is_finite(v), F.lit(False))))
+        rows = rows.withColumn("_x", array_firstk("_x", max_size))
     else:
-        made["score"] = x.cast("float")
-    columns = {n: made.get(n, F.lit(None)).cast(kind) for n, kind in none.items()}
-    return frame.withColumns(columns).drop("_e")
-
-
-def _hash_items(df: DataFrame, column: str, key: str) -> DataFrame:
-    """Replace the string ``key`` of each struct in an array by its hash, a row per item on the way."""
-    df = df.withColumn("_row", F.monotonically_increasing_id())
-    items = df.select("_row", F.posexplode(column).alias("_at", "_item"))
-    hashed = items.withColumn("_item", F.col("_item").withField(key, hash_to_uint32(F.col(f"_item.{key}"))))
-    whole = hashed.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_item"))), lambda s: s["_item"]).alias("_made"))
-    joined = df.join(whole, "_row", "left")
-    return joined.withColumn(column, F.when(F.col(column).isNotNull(), F.coalesce("_made", F.slice(column, 1, 0)))).drop("_row", "_made")
+        target = "score"
+        rows = rows.withColumn("_x", x.cast("float")).where(is_finite("_x"))
+    return rows.withColumns({n: F.col("_x") if n == target else F.lit(None).cast(kind) for n, kind in none.items()}).drop("_x")
 
 
 # Grouped features: an ordered list of (column, keys) that names a dense vector

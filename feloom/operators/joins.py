@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashes import row_hash
+
 #: A side of a ``broadcast`` join is hinted only if the planner's size estimate is below this.
 BROADCAST_BYTES = 64 << 20
 #: Cells of a filter list that may be broadcast.
@@ -100,7 +102,7 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     """An equi-join whose hot keys are spread over ``parts`` tasks: the right side is repeated once per salt."""
     if how not in SALTABLE:
         raise ValueError(f"a salted join can't be {how}")
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns if c not in on] or [F.lit(0)], F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+    salt = F.pmod(F.xxhash64(row_hash(left, [c for c in left.columns if c not in on]), F.monotonically_increasing_id()), F.lit(parts)).cast("int")
     salted = left.withColumn("_salt", salt)
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
@@ -117,7 +119,7 @@ def configured_join(left: DataFrame, right: DataFrame, on: list[str] | Column, h
     raise ValueError(f"unknown join type {kind!r}")
 
 
-def join_filter(df: DataFrame, rows: list[dict], exclusion: bool = False, most_cells: int = BROADCAST_CELLS, salt_parts: int = 16) -> DataFrame:
+def join_filter(df: DataFrame, rows: list[dict], exclusion: bool = False, most_cells: int = BROADCAST_CELLS) -> DataFrame:
     """Rows of ``df`` whose values are, or are not, in a list; NULL equals NULL, values compare as strings.
 
     An empty list keeps nothing (or everything, if it excludes). Columns with one

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import IntervalCheckpoint, shared_folder
+
 
 def _order(columns: list[str], ascending: bool) -> list[Column]:
     return [F.col(c).asc() if ascending else F.col(c).desc() for c in columns]
@@ -15,15 +17,17 @@ def top_rows(df: DataFrame, n: int, columns: list[str], ascending: bool = False)
     return df.orderBy(*_order(columns, ascending)).limit(n)
 
 
-def global_rank(df: DataFrame, columns: list[str], ascending: bool = False, rank: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, columns: list[str], ascending: bool = False, rank: str = "rank", directory: str | None = None) -> DataFrame:
     """Ranks from 1 over all rows without sorting them in one task.
 
-    Rows are dealt to tasks by ranges of the order; a rank is the row number in the
-    task plus the rows of the tasks before. The table of row counts per task is a
-    row per task.
+    Rows are dealt to tasks by ranges of the order, and written with the number of
+    their task to ``directory`` (by default the session's shared folder): ranges come from a sample, so rows
+    and counts must not be dealt twice. A rank is the row number in the task plus
+    the rows of the tasks before. The table of row counts per task is a row per task.
     """
     order = _order(columns, ascending)
     dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    dealt = IntervalCheckpoint(1, directory or shared_folder(df.sparkSession))(dealt)
     counts = dealt.groupBy("_part").count()
     before = counts.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     numbered = dealt.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))

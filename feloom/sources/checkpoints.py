@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; only a plain local session without it gets one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/feloom-tables"
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="feloom-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
+
 
 class IntervalCheckpoint:
-    """Every ``interval``-th frame is written as Parquet to a shared directory and read again."""
+    """Every ``interval``-th frame is written as Parquet to a shared directory and read again.
+
+    The files go when the driver ends.
+    """
 
     def __init__(self, interval: int, directory: str):
         self.interval, self.directory, self.calls = interval, directory.rstrip("/"), 0
@@ -20,6 +42,8 @@ class IntervalCheckpoint:
             return df
         path = f"{self.directory}/{uuid.uuid4().hex}"
         df.write.parquet(path)
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(place)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.hashes import row_hash
 from .partitions import _fs
 
 
@@ -53,8 +54,8 @@ def bucketed(df: DataFrame, partitions: list[str], max_rows: int) -> DataFrame:
     """
     stats = bucket_stats(df, partitions, max_rows).select(*partitions, "buckets", "first_bucket")
     total = stats.agg(F.sum("buckets")).first()[0] or 1
-    placed = df.join(stats, partitions).withColumn("_bucket", F.col("first_bucket") + F.pmod(F.xxhash64(*df.columns), F.col("buckets")))
-    return placed.repartitionByRange(int(min(2 * total, 100_000)), "_bucket").select(*df.columns)
+    placed = df.join(stats, partitions).withColumn("_bucket", F.col("first_bucket") + F.pmod(row_hash(df, df.columns), F.col("buckets")))
+    return placed.repartitionByRange(int(2 * total), "_bucket").select(*df.columns)
 
 
 def insert_bucketed(df: DataFrame, path: str, partitions: list[str], max_rows: int, schema: T.StructType | None = None, overwrite: bool = True, raise_on_missing: bool = False, fmt: str = "parquet") -> None:

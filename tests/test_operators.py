@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,9 +85,43 @@ def test_dense_vector(spark):
 def test_transform_feature(spark):
     df = spark.createDataFrame([(1, {"1": 0.5, "x": 1.0, "2": 2.0}, ["7", "foo"])], "id int, m map<string,double>, c array<string>")
     assert domains.transform_feature(df, "m", 1).first()["score_map"] == {"2": 2.0}
-    assert domains.transform_feature(df, "c").first()["cat_list"] == ["7"]
+    assert domains.transform_feature(df, "c").count() == 0  # a row with a string that is no uint32 goes
+    assert domains.transform_feature(df.select("id", F.array(F.lit("7")).alias("c")), "c").first()["cat_list"] == ["7"]
     assert domains.transform_feature(df, "c", hashing=True).first()["cat_list"][1] == "176538449"
     assert domains.transform_feature(df, "id").first()["score"] == 1.0
+    rows = [(1, 1.0, [1.0, 2.0], {"1": 1.0}), (2, NAN, [], {"x": 1.0}), (3, float("inf"), [1.0, None], {"1": NAN}), (4, None, [1.0, NAN], {}), (5, -2.0, [3.0], {"1": NAN, "2": 4.0})]
+    odd = spark.createDataFrame(rows, "id int, f double, l array<double>, m map<string,double>")
+    kept = lambda c, out: [(r.id, r[out]) for r in domains.transform_feature(odd.select("id", c), c, 1).orderBy("id").collect()]
+    assert kept("f", "score") == [(1, 1.0), (5, -2.0)]
+    assert kept("l", "score_list") == [(1, [1.0]), (5, [3.0])]
+    assert kept("m", "score_map") == [(1, {"1": 1.0}), (5, {"2": 4.0})]
+    assert domains.transform_feature(odd.select("id", "m"), "m", 5, hashing=True).count() == 3
+
+
+def test_global_rank_of_many_wide_rows(spark):
+    """Adaptive execution merges and splits the ranges; ranks are whole all the same."""
+    df = spark.range(2_000_000).select(F.pmod(F.xxhash64("id"), F.lit(100_000)).alias("x"), "id", F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+    ranked = topn.global_rank(df, ["x", "id"])
+    window = Window.orderBy("rank")
+    facts = ranked.agg(F.count("*").alias("n"), F.countDistinct("rank").alias("d"), F.min("rank").alias("lo"), F.max("rank").alias("hi")).first()
+    assert tuple(facts) == (2_000_000, 2_000_000, 1, 2_000_000)
+    step = ranked.where("rank % 1000 < 2").select("rank", "x", "id", F.lag("rank").over(window).alias("r"), F.lag("x").over(window).alias("px"), F.lag("id").over(window).alias("pid"))
+    assert step.where("rank = r + 1 and not (px > x or px = x and pid > id)").count() == 0
+    assert step.where("rank = r + 1").count() >= 1999
+    assert topn.top_rows_ranked(df, 150_000, ["x", "id"]).select("id").exceptAll(df.orderBy(F.desc("x"), F.desc("id")).limit(150_000).select("id")).count() == 0
+
+
+def test_joins_with_maps(spark):
+    left = spark.createDataFrame([(i % 3, {"a": float(i)}, [{"b": i}]) for i in range(30)], "k int, m map<string,double>, l array<map<string,int>>")
+    right = spark.createDataFrame([(0, "x"), (1, "y")], "k int, y string")
+    assert joins.salted_join(left, right, ["k"], "left", 4).count() == 30
+    assert domains.map_domain(spark.createDataFrame([("u", 1.0, {"x": 2.0, "b": 3.0})], "uid string, x double, m map<string,double>"), "d").first()["d"] == {"x": 2.0, "b": 3.0}
+
+
+def test_stratified_sample_repeats(spark):
+    df = spark.range(10_000).withColumn("g", F.col("id") % 2)
+    one, two = (sampling.stratified_sample(d, ["g"], 300, 5, key=["id"]) for d in (df, df.repartition(7)))
+    assert one.exceptAll(two).count() == two.exceptAll(one).count() == 0 and 450 < one.count() < 750
 
 
 def test_pipelines(spark):

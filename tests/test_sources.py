@@ -37,6 +37,13 @@ def test_bucketed_write_and_union_read(spark, tmp_path):
         writers.bucket_stats(spark.createDataFrame([(1, None)], "x int, dt string"), ["dt"], 5).collect()
 
 
+def test_bucketed_write_of_maps(spark, tmp_path):
+    df = spark.range(500).select(F.create_map(F.lit("a"), F.col("id")).alias("m"), "id", (F.col("id") % 2).cast("string").alias("dt"))
+    writers.insert_bucketed(df, f"{tmp_path}/m", ["dt"], 50)
+    back = spark.read.parquet(f"{tmp_path}/m")
+    assert back.count() == 500 and back.where("m['a'] <> id").count() == 0 and len(back.inputFiles()) >= 10
+
+
 def test_marks_and_moves(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/a")
     partitions.set_mark(spark, f"{tmp_path}/a", "done")
