@@ -7,8 +7,11 @@ pass: each page is parsed again and the text of the containers on its host's
 path, each widened to the article or main element around it, is taken; a page without such a container, or with no text there, falls
 back to its own best container, then to its body.
 
+The path gives way where a page's own best container has more than ``FAR_BETTER`` times the points.
+
 Left out everywhere: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments of readers, and markup.
+scripts, styles, comments of readers, and markup. Forms and what only its name marks stay where they hold most of the page's
+text: they wrap the article then. Comments of readers and cookie notices go in any case.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp".split(
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-DROPPED = frozenset("nav footer aside form script style noscript template iframe button select option textarea svg canvas object dialog menu head title input".split())
+DROPPED = frozenset("nav footer aside script style noscript template iframe button select option textarea svg canvas object dialog menu head title input".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
@@ -52,7 +55,15 @@ SITE_HEADERS = frozenset("header site-header page-header siteheader pageheader t
 KEPT_TAGS = frozenset("html body main article".split())
 GOOD_NAMES = frozenset("article content main post entry story body text".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>""", re.S)
+#: Words that mark what is left out whatever it holds; elements by the other words stay if they hold most of the page's text.
+ALWAYS_DROPPED = frozenset("comment comments respond disqus cookie cookies consent gdpr".split())
+#: How many times the points of the host's path a page's own best container needs to be taken instead.
+FAR_BETTER = 3
+#: Points of text that an element of a doubtful name must hold to stay; a paragraph has two to five.
+WRAPS = 5
+
+_START = re.compile(r"""<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/><"']*))""")
+_PLAIN = re.compile(r"""[^"'>]*""")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
 #: Values of attributes; what is left are their names, among them perhaps ``hidden`` itself.
@@ -66,46 +77,116 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+def tokens(source: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Start, end, name (None for what is no element), whether it closes, and attributes of each piece of markup; linear in the text.
+
+    The generator takes the place to go on from by ``send``. A quote that is not closed, or
+    that is closed only by the quote that opens another value, is a plain character.
+    """
+    at, size, never = 0, len(source), set()
+    while found := _START.search(source, at):
+        start, end, name = found.start(), found.end(), None
+        if found[1] or found[2]:
+            end = source.find("-->" if found[1] else "]]>", end)
+            end = size if end < 0 else end + 3
+        elif found[3]:
+            end = source.find(">", end) + 1
+        else:
+            name, end = found[5].lower(), _tag_end(source, end, never)
+        if not end:
+            return  # no ">" from here on: the rest is text
+        go_on = yield start, end, name, bool(found[4]), source[found.end() : end - 1] if name else ""
+        at = end if go_on is None else go_on
+
+
+def _tag_end(source: str, at: int, never: set[str]) -> int:
+    """The place after the ">" of a tag, 0 if there is none; ``never`` keeps the quotes that do not come again."""
+    while True:
+        at = _PLAIN.match(source, at).end()
+        if at >= len(source):
+            return 0
+        quote = source[at]
+        if quote == ">":
+            return at + 1
+        close = -1 if quote in never else source.find(quote, at + 1)
+        if close < 0:
+            never.add(quote)
+        if close < 0 or (source[close + 1 : close + 2].strip() and source[close + 1] not in "/>"):
+            return source.find(">", at) + 1
+        at = close + 1
+
+
 class Page:
     """Elements and text blocks of one page, in page order."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.names, self.dropped = ["html"], [-1], [()], [False]
+        #: elements that stay only if they hold most of the text
+        self.doubtful = [False]
         #: (element, text, characters in links)
         self.blocks: list[tuple[int, str, int]] = []
         self._stack, self._text, self._link_chars = [0], [], 0
         self._parse(source)
+        self._settle()
 
     def _parse(self, source: str) -> None:
         at, size = 0, len(source)
         lowered = None
         links = 0
-        for token in iter(lambda: _TOKEN.search(source, at), None):
-            if token.start() > at:
-                self._add(source[at : token.start()], links)
-            at = token.end()
-            name = token[2]
-            if name is None:
-                continue
-            name = name.lower()
-            if token[1]:
+        found = tokens(source)
+        token = next(found, None)
+        while token:
+            start, end, name, closes, attributes = token
+            if start > at:
+                self._add(source[at:start], links)
+            at = end
+            if name is not None and closes:
                 if name == "a":
                     links = max(0, links - 1)
                 self._close(name)
-                continue
-            self._open(name, token[3])
-            if name == "a":
-                links = 1
-            if name in RAW:
-                lowered = lowered if lowered is not None else source.lower()
-                end = lowered.find("</" + name, at) if len(lowered) == size else self._find(source, name, at)
-                at = size if end < 0 else end
-                if name not in DROPPED and end > 0:
-                    continue
+            elif name is not None:
+                self._open(name, attributes)
+                if name == "a":
+                    links = 1
+                if name in RAW:
+                    lowered = lowered if lowered is not None else source.lower()
+                    end = lowered.find("</" + name, at) if len(lowered) == size else self._find(source, name, at)
+                    end = size if end < 0 else end
+                    if name in DROPPED:
+                        at = end
+                    else:
+                        self._add(source[at:end], links)
+                        at = end
+            try:
+                token = found.send(at)
+            except StopIteration:
+                token = None
         if at < size:
             self._add(source[at:], links)
         self._flush()
 
+    def _settle(self) -> None:
+        """Drop the doubtful elements and what lies in them, but for those that must wrap the article.
+
+        Such an element holds more than half of the points of the page's text, at least ``WRAPS``,
+        and the page's article and main elements, if any holds text, lie in it.
+        """
+        if any(self.doubtful):
+            held, articles = [0.0] * len(self.tag), [0] * len(self.tag)
+            for at, text, link_chars in self.blocks:
+                held[at] += _value(text, link_chars)
+                up = at
+                while up > 0 and self.tag[up] not in ("article", "main"):
+                    up = self.parent[up]
+                articles[up] += up > 0
+            for i in range(len(self.tag) - 1, 0, -1):
+                held[self.parent[i]] += held[i]
+                articles[self.parent[i]] += articles[i]
+            for i in range(1, len(self.tag)):
+                wraps = 2 * held[i] > held[0] and held[i] >= WRAPS and articles[i] == articles[0]
+                self.dropped[i] = self.dropped[i] or (self.doubtful[i] and not wraps) or self.dropped[self.parent[i]]
+            self.blocks = [b for b in self.blocks if not self.dropped[b[0]]]
+
     @staticmethod
     def _find(source: str, name: str, at: int) -> int:
         found = re.compile("</" + name, re.I).search(source, at)
@@ -161,18 +242,24 @@ class Page:
             return
         up = self._stack[-1]
         names: tuple[str, ...] = ()
-        hidden = False
+        hidden = doubtful = False
         if attributes:
             found = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in _NAMES.finditer(attributes)]
             names = tuple(w for key, value in found if key == "class" for w in value.split())
             others = tuple(w for key, value in found if key != "class" for w in value.split())
-            hidden = name not in KEPT_TAGS and (any(map(_is_dropped_name, names + others)) or _is_hidden(attributes))
+            if name not in KEPT_TAGS:
+                marked = [w for w in names + others if _is_dropped_name(w)]
+                sure = any(not ALWAYS_DROPPED.isdisjoint(re.split(r"[-_]", w)) for w in marked)
+                hidden = _is_hidden(attributes) or sure or bool(marked and name in INLINE)
+                doubtful = bool(marked)
         if name == "header":
-            hidden = hidden or not any(self.tag[i] in ("article", "main") for i in self._stack)
+            doubtful = doubtful or not any(self.tag[i] in ("article", "main") for i in self._stack)
+        doubtful = doubtful or name == "form"
         self.tag.append(name)
         self.parent.append(up)
         self.names.append(names)
         self.dropped.append(self.dropped[up] or name in DROPPED or hidden)
+        self.doubtful.append(doubtful)
         self._stack.append(len(self.tag) - 1)
 
     def _close(self, name: str) -> None:
@@ -205,10 +292,9 @@ class Page:
         """Points of each container: a paragraph counts for its container, half for the one above."""
         points: dict[int, float] = {}
         for at, text, link_chars in self.blocks:
-            own = len(text) - min(len(text), link_chars)
-            if own < 25:
+            value = _value(text, link_chars)
+            if not value:
                 continue
-            value = (1 + text.count(",") + min(own / 100, 3)) * own / len(text)
             holder = at
             while holder > 0 and self.tag[holder] in ("p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "li", "ul", "ol", "dd", "dt", "dl"):
                 holder = self.parent[holder]
@@ -243,17 +329,26 @@ class Page:
         return main
 
     def main_text(self, path: str | None) -> str:
-        if path:
-            text = self.text_of([self.whole(i) for i in range(len(self.tag)) if not self.dropped[i] and self.path(i) == path])
-            if text:
-                return text
         points = self.scores()
-        if points:
-            return self.text_of([self.whole(max(points, key=lambda i: (points[i], -i)))])
+        best = max(points, key=lambda i: (points[i], -i)) if points else None
+        if path:
+            on_path = [i for i in range(len(self.tag)) if not self.dropped[i] and self.path(i) == path]
+            if best is None or points[best] <= FAR_BETTER * sum(points.get(i, 0) for i in on_path):
+                text = self.text_of([self.whole(i) for i in on_path])
+                if text:
+                    return text
+        if best is not None:
+            return self.text_of([self.whole(best)])
         articles = [i for i in range(len(self.tag)) if self.tag[i] in ("article", "main") and not self.dropped[i]]
         return self.text_of(articles) or self.text_of([0])
 
 
+def _value(text: str, link_chars: int) -> float:
+    """Points of a block: its words, commas and length outside of links; short ones have none."""
+    own = len(text) - min(len(text), link_chars)
+    return (1 + text.count(",") + min(own / 100, 3)) * own / len(text) if own >= 25 else 0.0
+
+
 def _is_hidden(attributes: str) -> bool:
     """The words ``hidden`` of ``class`` and ``overflow:hidden`` of ``style`` hide nothing."""
     return bool(_HIDDEN.search(attributes)) or ("hidden" in attributes.lower() and bool(_HIDDEN_NAME.search(_VALUE.sub("= ", attributes))))
@@ -261,8 +356,10 @@ def _is_hidden(attributes: str) -> bool:
 
 def _is_dropped_name(name: str) -> bool:
     words = re.split(r"[-_]", name)
-    if words[0] in ("has", "with", "no", "without", "js"):
-        return False
+    for k, word in enumerate(words):
+        if word in ("has", "with", "no", "without", "js"):  # what follows is said of something else
+            words = words[:k]
+            break
     return name in SITE_HEADERS or not DROPPED_NAMES.isdisjoint(words)
 
 
