@@ -29,8 +29,8 @@ from .textarrays import LOWER, Texts, pieces
 
 #: Labelled rows that the text models may be fitted on, at most.
 SAMPLE_ROWS = 3000
-#: Languages that the models may tell apart, at most; the most frequent of all rows are taken.
-MOST_LANGUAGES = 200
+#: Languages that the models may tell apart, at most (a quarter of a MB each in every task); the most frequent of all rows are taken.
+MOST_LANGUAGES = 1000
 BUCKETS = 1 << 16
 UNKNOWN = "und"
 #: Trigrams count fully up to about this many.
@@ -62,45 +62,59 @@ def trigrams(texts: Texts) -> np.ndarray:
 
 
 class TextModel:
-    """Log probabilities of trigram buckets, one column per language and one for UNKNOWN."""
+    """Log probabilities of trigram buckets, one row per language and one for UNKNOWN."""
 
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = [*languages, UNKNOWN]
         smooth = 0.5
-        self.table = np.zeros((BUCKETS + 1, len(languages) + 1))
+        self.table = np.zeros((len(languages) + 1, BUCKETS + 1), np.float32)
         if languages:
-            self.table[:BUCKETS, :-1] = np.log((counts + smooth) / (counts.sum(axis=0) + smooth * BUCKETS))
-        self.table[:BUCKETS, -1] = -np.log(BUCKETS)
+            self.table[:-1, :BUCKETS] = np.log((counts + smooth) / (counts.sum(axis=1, keepdims=True) + smooth * BUCKETS))
+        self.table[-1, :BUCKETS] = -np.log(BUCKETS)
 
     def likelihoods(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Tempered log likelihoods (text x language) and trigram counts."""
         codes = trigrams(texts)
         size = np.diff(texts.limits)
-        sums = np.zeros((texts.n, self.table.shape[1]))
+        sums = np.zeros((texts.n, len(self.languages)))
         full = np.flatnonzero(size)
         if len(full):
             starts = texts.limits[full]
-            for column in range(self.table.shape[1]):
-                sums[full, column] = np.add.reduceat(self.table[:, column][codes], starts)
+            for column, logs in enumerate(self.table):
+                sums[full, column] = np.add.reduceat(logs[codes], starts, dtype=np.float64)
         n = np.zeros(texts.n, np.int64)
         if len(full):
             n[full] = np.add.reduceat((codes < BUCKETS).astype(np.int64), starts)
         return sums / (1 + n / FULL_WEIGHT)[:, None], n
 
 
-def fit_text_model(sample: list[tuple[str, str]]) -> TextModel:
-    """From (language, text) rows; languages in the order of their codes."""
-    names: dict[str, int] = {}
-    for language, _ in sample:
-        names[language] = names.get(language, 0) + 1
-    languages = sorted(sorted(names, key=lambda k: (-names[k], k))[:MOST_LANGUAGES])
-    counts = np.zeros((BUCKETS, len(languages)))
-    for language, text in sample:
-        if language in languages:
-            for _, _, texts in pieces(pa.array([text], pa.large_string())):
-                codes = trigrams(texts)
-                counts[:, languages.index(language)] += np.bincount(codes[codes < BUCKETS], minlength=BUCKETS)
-    return TextModel(languages, counts)
+def fit_text_model(sample: DataFrame) -> TextModel:
+    """From rows of a language and a text; languages in the order of their codes.
+
+    Trigrams are counted where the texts are: a language reaches the driver as its ``BUCKETS`` counts.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for at, language in enumerate(batch.column(0).to_pylist()):
+                mine = sums.setdefault(language, np.zeros(BUCKETS, np.int64))
+                for _, _, texts in pieces(batch.column(1).slice(at, 1)):
+                    codes = trigrams(texts)
+                    mine += np.bincount(codes[codes < BUCKETS], minlength=BUCKETS)
+        for language, mine in sums.items():
+            used = np.flatnonzero(mine)
+            yield pa.RecordBatch.from_arrays([pa.array([language] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(mine[used])], ["language", "bucket", "n"])
+
+    def whole(language: pa.Table) -> pa.Table:
+        counts = np.bincount(language["bucket"].to_numpy(), weights=language["n"].to_numpy(), minlength=BUCKETS).astype(np.int64)
+        return pa.table({"language": language["language"][:1], "counts": pa.array([counts.tobytes()], pa.binary())})
+
+    counted = map_arrow(sample.select("_fl_declared", "_fl_text"), count, "language string, bucket int, n long")
+    summed = counted.groupBy("language", "bucket").agg(F.sum("n").alias("n"))
+    rows = sorted(summed.groupBy("language").applyInArrow(whole, "language string, counts binary").collect(), key=lambda r: r.language)
+    counts = [np.frombuffer(r.counts, np.int64) for r in rows]
+    return TextModel([r.language for r in rows], np.stack(counts) if counts else np.zeros((0, BUCKETS)))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -163,11 +177,12 @@ def identify(rows: DataFrame, keys: list[str], sample_rows: int = SAMPLE_ROWS, l
     than UNKNOWN has the highest posterior, at least ``least_posterior``, and its
     text has a trigram of letters at all; so null, empty and one-letter texts are rejected.
     Nulls in the other evidence count as no evidence; a null host is the host "".
-    Equal posteriors go to the smaller code. Repeated rows get equal results, an
+    Equal posteriors go to the smaller code. Columns of ``rows`` named ``language``, ``posterior`` or
+    ``kept`` are not read unless they are keys, and keys must not have these names or begin with ``_fl_``. Repeated rows get equal results, an
     empty table gives no rows. If nothing declares a language, all is rejected.
     """
     sample = declared_sample(rows, keys, sample_rows)
-    model = fit_text_model([tuple(r) for r in sample.collect()])
+    model = fit_text_model(sample)
     languages, width = model.languages, len(model.languages)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +204,9 @@ def identify(rows: DataFrame, keys: list[str], sample_rows: int = SAMPLE_ROWS, l
     soft = [F.sum(F.col("_fl_soft")[i]).alias(f"s{i}") for i in range(width)]
     again = [F.sum(f"s{i}").alias(f"s{i}") for i in range(width)]
     vector = F.array(*[f"s{i}" for i in range(width)])
-    by_host = cut(useful.groupBy("_fl_suffix", "_fl_host").agg(*soft), "hosts")
+    # hosts of rows that say nothing are there too, for the sake of their suffix
+    mine = [F.sum(F.when(F.col("_fl_n") > 0, F.col("_fl_soft")[i]).otherwise(0.0)).alias(f"s{i}") for i in range(width)]
+    by_host = cut(measured.groupBy("_fl_suffix", "_fl_host").agg(*mine), "hosts")
     by_suffix = by_host.groupBy("_fl_suffix").agg(*again)
     whole = by_suffix.agg(*again).first()
     everywhere = np.array([whole[i] or 0.0 for i in range(width)]) + 1.0
@@ -240,8 +257,8 @@ def identify(rows: DataFrame, keys: list[str], sample_rows: int = SAMPLE_ROWS, l
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:
-    """Documents: ``lang`` is what they declare, ``source`` their host; they have no address."""
-    return evidence(docs, F.col("text"), F.col("lang"), F.col("source"), F.lit(""))
+    """Documents: ``lang`` is what they declare, ``source`` their host; the suffix is what follows its last dot, if it has one."""
+    return evidence(docs, F.col("text"), F.col("lang"), F.col("source"), F.lower(F.regexp_extract(F.coalesce("source", F.lit("")), r"\.([A-Za-z]{2,})\s*$", 1)))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter, defaultdict
 from zlib import crc32
@@ -205,6 +206,54 @@ def test_prior_decides_without_text(spark):
     assert sorted(r.doc_id for r in language_id.reject_unidentified(df).collect() if r.doc_id >= 500) == [500, 501]
 
 
+def brute_posteriors(rows):
+    """Posteriors by plain loops; every row that declares a language is in the sample."""
+    names = sorted({d for _, d, _, _ in rows if d}) + ["und"]
+    quiet = {b for b in range(128) if not chr(b).isalpha() and chr(b) not in " \n"}
+
+    def codes(text):
+        raw = [b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+        runs = [tuple(raw[i : i + 3]) for i in range(len(raw) - 2)]
+        runs = [r for r in runs if not quiet & set(r) and any(b > 32 for b in r)]
+        return [((a << 16 | b << 8 | c) * 0x9E3779B1 % 2**32) >> 16 for a, b, c in runs]
+
+    found = [codes(t) for t, _, _, _ in rows]
+    counts = {n: Counter(c for (_, d, _, _), cs in zip(rows, found) if d == n for c in cs) for n in names[:-1]}
+    log = lambda n, c: -math.log(65536) if n == "und" else math.log((counts[n][c] + 0.5) / (counts[n].total() + 0.5 * 65536))
+    logs = [[sum(log(n, c) for c in cs) / (1 + len(cs) / 64) for n in names] for cs in found]
+
+    def soft(x):
+        e = [math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    shares = [soft(x) if cs else [0] * len(names) for x, cs in zip(logs, found)]
+    total = lambda some: [sum(x[i] for x in some) for i in range(len(names))]
+    base = soft([math.log(x + 1) for x in total(shares)])
+    table = [[5 / len(names) + t for t in total([s for s, (_, d, _, _) in zip(shares, rows) if d == n])] for n in names]
+    said = {n: [math.log(table[k][i] / sum(r[i] for r in table)) for i in range(len(names))] for k, n in enumerate(names)}
+    out = []
+    for k, (_, declared, host, suffix) in enumerate(rows):
+        others = [(s, r) for j, (s, r) in enumerate(zip(shares, rows)) if j != k and r[3] == suffix]
+        by_suffix, by_host = total([s for s, _ in others]), total([s for s, r in others if r[2] == host])
+        prior = [(x + 50 * p) / (sum(by_suffix) + 50) for x, p in zip(by_suffix, base)]
+        prior = [(x + 20 * p) / (sum(by_host) + 20) for x, p in zip(by_host, prior)]
+        extra = said.get(declared, [0] * len(names))
+        out.append((names, soft([a + b + math.log(p) for a, b, p in zip(logs[k], extra, prior)])))
+    return out
+
+
+def test_posteriors_by_brute_force(spark):
+    """Every posterior, and a suffix that decides for a host without other rows."""
+    english, german = "the cat and the dog of the house with that ", "der hund und die katze in dem haus mit dem "
+    rows = [(english * (i % 3 + 1), "en", f"h{i % 2}.com", "com") for i in range(30)] + [(german * (i % 3 + 1), "de", f"g{i % 4}.de", "de") for i in range(40)]
+    rows += [("qqq", None, "new.de", "de"), ("qqq", None, "new.com", "com"), ("qqq", "de", "h1.com", "com"), ("the hund und dog", None, "h0.com", "com"), ("привет мир", None, "", ""), ("12 34", "en", "x", "")]
+    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in language_id.identify(language_id.document_evidence(df), ["doc_id"]).collect()}
+    for i, (names, p) in enumerate(brute_posteriors(rows)):
+        assert got[i].language == names[p.index(max(p))] and abs(got[i].posterior - max(p)) < 1e-4, rows[i]
+    assert (got[70].language, got[71].language) == ("de", "en") and not got[75].kept
+
+
 def test_language_odd(odd, nothing):
     left = language_id.reject_unidentified(odd)
     assert left.columns == odd.columns
