@@ -76,12 +76,18 @@ def crossing_work(members: DataFrame) -> tuple[int, int]:
     return int(work or 0), int(rows or 0)
 
 
+#: Members that are drawn from each open bucket in one pass.
+DRAWS = 4
+
+
 def reseeded_pairs(members: DataFrame, seed: int) -> DataFrame:
-    """Each member of an open bucket with one of another component, drawn anew by ``seed``."""
-    draw = F.min_by("id", F.xxhash64("id", "key", F.lit(seed)))
-    drawn = members.groupBy("key").agg(draw.alias("c"), F.min_by("component", F.xxhash64("id", "key", F.lit(seed))).alias("of"))
-    met = members.join(drawn, "key").where("component <> of")
-    return met.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    """Each member of an open bucket with up to ``DRAWS`` members of other components, drawn anew by ``seed``."""
+    order = [F.xxhash64("id", "key", F.lit(DRAWS * seed + i)) for i in range(DRAWS)]
+    drawn = members.groupBy("key").agg(*[f.alias(f"{n}{i}") for i, o in enumerate(order) for n, f in (("c", F.min_by("id", o)), ("of", F.min_by("component", o)))])
+    partners = F.array(*[F.struct(F.col(f"c{i}").alias("c"), F.col(f"of{i}").alias("of")) for i in range(DRAWS)])
+    met = members.join(drawn.select("key", partners.alias("partners")), "key")
+    pairs = met.select("id", "component", F.explode(F.array_distinct("partners")).alias("p")).where("component <> p.of")
+    return pairs.select(F.least("id", "p.c").alias("a"), F.greatest("id", "p.c").alias("b")).distinct()
 
 
 #: Members of a bucket that one task compares with as many others.
@@ -113,7 +119,7 @@ def crossing_pairs(members: DataFrame, facts: DataFrame, possible) -> DataFrame:
 
 
 #: Passes with newly drawn partners at most.
-RESEEDS = 6
+RESEEDS = 2
 
 
 def search(buckets: DataFrame, links, admitted, partners: int, label: str) -> DataFrame:
@@ -123,7 +129,7 @@ def search(buckets: DataFrame, links, admitted, partners: int, label: str) -> Da
     of members of open buckets and the condition for :func:`crossing_pairs`. Members meet
     the smallest one of their bucket first. While more than ``partners`` partners of other
     components are left to a member on average, they then meet others drawn anew, which joins
-    what is densely linked at the cost of one pair a member; that ends after ``RESEEDS``
+    what is densely linked at the cost of a few pairs a member; that ends after ``RESEEDS``
     passes or one without a link. All pairs of different components that are left are
     then searched, in every case, so the number of passes changes only the cost.
     """

@@ -246,7 +246,7 @@ def test_posteriors_by_brute_force(spark):
     """Every posterior, and a suffix that decides for a host without other rows."""
     english, german = "the cat and the dog of the house with that ", "der hund und die katze in dem haus mit dem "
     rows = [(english * (i % 3 + 1), "en", f"h{i % 2}.com", "com") for i in range(30)] + [(german * (i % 3 + 1), "de", f"g{i % 4}.de", "de") for i in range(40)]
-    rows += [("qqq", None, "new.de", "de"), ("qqq", None, "new.com", "com"), ("qqq", "de", "h1.com", "com"), ("the hund und dog", None, "h0.com", "com"), ("привет мир", None, "", ""), ("12 34", "en", "x", "")]
+    rows += [("qqq", None, "new.de", "de"), ("qqq", None, "new.com", "com"), ("zzz", "de", "h1.com", "com"), ("the hund und dog", None, "h0.com", "com"), ("привет мир", None, "", ""), ("12 34", "en", "x", "")]
     df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r for r in language_id.identify(language_id.document_evidence(df), ["doc_id"]).collect()}
     for i, (names, p) in enumerate(brute_posteriors(rows)):
