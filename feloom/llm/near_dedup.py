@@ -34,7 +34,7 @@ SHINGLE = 5
 #: Estimates below the threshold by more than this many standard errors are discarded.
 SIGMAS = 4.0
 #: Partners left to a member on average from which it meets newly drawn ones before the complete search.
-CROSSING_WORK = 8
+CROSSING_WORK = 64
 
 
 def registers(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
