@@ -40,6 +40,18 @@ def test_query(spark, duck, name):
         assert sorted(got, key=repr) == sorted(expected, key=repr)
 
 
+def test_combine_features_takes_users_of_all_orders(spark, tmp_path):
+    """A user whose orders are all in other states than 'P' stays, as in SQL; one without an order goes."""
+    spark.createDataFrame([(u, k, 1.5 * u) for u in (1, 2, 3) for k in ("click", "view", "buy")], "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1, "F"), (2, "P"), (2, "O")], "o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(map(tuple, QUERIES["combine_features"](spark, str(tmp_path)).collect()))
+    assert got == [(1, "11", 1.5), (1, "12", 1.5), (2, "11", 3.0), (2, "12", 3.0)]
+    con = duckdb.connect()
+    for t in ("events", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert got == sorted(con.execute(ORACLES["combine_features"]).fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__
 
