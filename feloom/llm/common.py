@@ -44,14 +44,33 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/feloom/{label}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files go at the end of the execution that made them, not when the driver's garbage collector finds them unused.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _without_leftovers(spark: SparkSession) -> Iterator[None]:
+    """Executions inside delete their shuffle files when they end; each plans shuffles of its own, so no other reads them."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table of its own in the shared folder: the lineage ends here and its size is known to the planner.
 
-    What is left of such tables goes when the driver ends.
+    Its shuffle files go with the write; what is left of such tables goes when the driver ends.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    with _without_leftovers(spark):
+        df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     for names in _watched:

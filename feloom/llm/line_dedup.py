@@ -7,11 +7,15 @@ and runs of neighbours in it are the bands: two lines meet in a bucket if so
 many common hashes follow each other in both signatures.
 
 - Sets of at most ``DENSE`` hashes: every run of 4 in the 24 smallest.
-- Sets of at least 0.8 * ``DENSE``: of the 64 smallest, the runs of 5 that begin
+- Sets of 0.8 * ``DENSE`` to ``LONG``: of the 64 smallest, the runs of 5 that begin
   with a multiple of 5.
+- Sets of at least 0.8 * ``LONG``: of the 128 smallest, the runs of 7 that begin
+  with a multiple of 6.
 
 Similar sets differ in size by less than a fifth, so any two that can be linked
-have one of the rules in common. At a similarity of 0.8 the rules find a pair with
+have one of the rules in common. Long lines share some shingles with any other in their
+language, and the pairs that meet by these alone grow with the square of the table; the longer
+run keeps nearly all of them apart. At a similarity of 0.8 the rules find a pair with
 a probability of 0.98, at 0.85 of 0.99. Lines that meet
 are verified by the exact Jaccard similarity of their whole sets; verified links
 are joined to components by distributed union-find; one line of each component
@@ -40,10 +44,11 @@ from .graph import only_listed, search
 from .textarrays import Texts, mix, pieces
 
 SHINGLE_CHARS = 5
-#: Signature length and run length of small sets, and of large ones; see above.
+#: Signature length and run length of small sets, of larger ones and of the largest; see above.
 SMALL, SMALL_RUN = 24, 4
 LARGE, LARGE_RUN, STEP = 64, 5, 5
-DENSE = 80
+HUGE, HUGE_RUN, HUGE_STEP = 128, 7, 6
+DENSE, LONG = 80, 200
 PERCENT = 80
 #: Partners left to a member on average from which it meets newly drawn ones before the complete search.
 CROSSING_WORK = 8
@@ -136,8 +141,9 @@ def band_keys(values: np.ndarray, owner: np.ndarray, size: np.ndarray) -> tuple[
         return key
 
     small = np.flatnonzero((of <= DENSE) & (rank + SMALL_RUN <= np.minimum(of, SMALL)))
-    large = np.flatnonzero((5 * of >= 4 * DENSE) & (rank + LARGE_RUN <= np.minimum(of, LARGE)) & (values % np.uint64(STEP) == 0))
-    parts = [(runs(small, SMALL_RUN), owner[small]), (runs(large, LARGE_RUN), owner[large])]
+    large = np.flatnonzero((5 * of >= 4 * DENSE) & (of <= LONG) & (rank + LARGE_RUN <= np.minimum(of, LARGE)) & (values % np.uint64(STEP) == 0))
+    huge = np.flatnonzero((5 * of >= 4 * LONG) & (rank + HUGE_RUN <= np.minimum(of, HUGE)) & (values % np.uint64(HUGE_STEP) == 0))
+    parts = [(runs(small, SMALL_RUN), owner[small]), (runs(large, LARGE_RUN), owner[large]), (runs(huge, HUGE_RUN), owner[huge])]
     for n in range(1, SMALL_RUN):
         at = np.flatnonzero((of == n) & (rank == 0))
         parts.append((runs(at, n), owner[at]))

@@ -7,8 +7,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from feloom.llm import graph, line_dedup, near_dedup
+from feloom.llm import common, graph, line_dedup, near_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -193,6 +194,32 @@ def test_line_links_recalled():
         assert met >= 0.95 * 400, (n, met)
 
 
+def test_long_lines_rarely_share_a_band_by_chance():
+    """Sets of 400 hashes out of 2000 (similarity 0.11) must not meet, or such pairs grow with the square of the table."""
+    rng = np.random.default_rng(8)
+    hashes = rng.integers(0, 2**64, 2000, dtype=np.uint64)
+    sets = [rng.choice(hashes, 400, replace=False) for _ in range(1500)]
+    owner = np.repeat(np.arange(len(sets)), 400)
+    keys, of = line_dedup.band_keys(*line_dedup.sorted_sets(np.concatenate(sets), owner, len(sets)))
+    members = np.unique(keys, return_counts=True)[1]
+    assert (members * (members - 1) // 2).sum() < 100  # of 1 124 250 pairs
+
+
+def test_shuffle_files_go_with_each_table(spark):
+    """What a table shuffled on its way is deleted with the write, so scratch does not pile up over a run."""
+    disk = spark._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        blocks = disk.getAllBlocks()
+        return {str(blocks.apply(i)) for i in range(blocks.size()) if str(blocks.apply(i)).startswith("shuffle_")}
+
+    before = files()
+    made = common.cut(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "test")
+    assert not files() - before and made.count() == 100
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+    common.drop(made)
+
+
 def test_lines_odd(spark, odd, nothing):
     got = line_dedup.dedup_lines(odd)
     assert set(odd.columns) <= set(got.columns) and got.count() == odd.count()
