@@ -94,56 +94,63 @@ def reseeded_pairs(members: DataFrame, seed: int) -> DataFrame:
 BLOCK = 2000
 
 
-def crossing_pairs(members: DataFrame, facts: DataFrame, possible) -> DataFrame:
-    """All pairs of one open bucket that lie in different components and that ``possible(l, r)`` admits.
+def met_in_cells(full: DataFrame, condition) -> DataFrame:
+    """``(a, b)`` for each two members of one key that lie in different components and that ``condition(l, r)`` admits.
 
-    ``facts`` holds by ``id`` what ``possible`` reads as columns of the aliases
-    ``l`` and ``r``; it is part of the join condition, so that hopeless pairs
-    are never made into rows. A bucket of more than ``BLOCK`` members is dealt to
+    ``full`` has ``key, id, component, g`` (members of the key) and what the condition
+    reads as columns of the aliases ``l`` and ``r``; the condition is part of the join's, so that
+    hopeless pairs are never made into rows. A key of more than ``BLOCK`` members is dealt to
     blocks, and each two blocks meet in a cell of their own: no task compares more than
-    about ``BLOCK`` squared pairs of a bucket. A pair that shares several buckets is
-    made only in the one with the smallest key.
+    about ``BLOCK`` squared pairs of a key. A pair is made once for each key it shares.
     """
-    keys = members.groupBy("id").agg(F.collect_list("key").alias("keys"))
-    full = members.join(keys, "id").join(facts, "id").withColumn("earlier", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
     last = F.floor((F.col("g") - 1) / BLOCK).cast("int")
     full = full.withColumn("block", F.pmod(F.xxhash64("id"), last + 1).cast("int")).withColumn("last", last).drop("g")
     # a pair of blocks i <= j is one cell; a pair of one block is ordered by component
     l = full.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", "last"))).alias("l")
     r = full.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block")))).alias("r")
-    first = ~F.arrays_overlap("l.earlier", "r.earlier")
     apart = F.when(F.col("l.block") == F.col("r.block"), F.col("l.component") < F.col("r.component")).otherwise(F.col("l.component") != F.col("r.component"))
     cell = (F.col("l.key") == F.col("r.key")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
-    met = l.join(r, cell & apart & possible("l", "r") & first)
+    met = l.join(r, cell & apart & condition("l", "r"))
     return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
 
 
+def crossing_pairs(members: DataFrame, facts: DataFrame, possible) -> DataFrame:
+    """All pairs of one open bucket that lie in different components and that ``possible(l, r)`` admits.
+
+    ``facts`` holds by ``id`` what ``possible`` reads; see :func:`met_in_cells`. A pair that shares several
+    buckets is made only in the one with the smallest key.
+    """
+    keys = members.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    full = members.join(keys, "id").join(facts, "id").withColumn("earlier", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
+    return met_in_cells(full, lambda l, r: possible(l, r) & ~F.arrays_overlap(f"{l}.earlier", f"{r}.earlier"))
+
+
 #: Passes with newly drawn partners at most.
 RESEEDS = 2
 
 
-def search(buckets: DataFrame, links, admitted, partners: int, label: str) -> DataFrame:
+def search(buckets: DataFrame, links, complete, partners: int, label: str, worth: int | None = None) -> DataFrame:
     """``(node, component)`` of the links among the members of common buckets (``key, id``).
 
-    ``links(pairs, admitted)`` confirms pairs; ``admitted(members)`` gives the facts
-    of members of open buckets and the condition for :func:`crossing_pairs`. Members meet
+    ``links(pairs, last)`` confirms pairs; ``complete(members)`` gives all pairs of members of
+    open buckets in different components that may be linked. Members meet
     the smallest one of their bucket first. While more than ``partners`` partners of other
     components are left to a member on average, they then meet others drawn anew, which joins
     what is densely linked at the cost of a few pairs a member; that ends after ``RESEEDS``
-    passes or one without a link. All pairs of different components that are left are
-    then searched, in every case, so the number of passes changes only the cost.
+    passes, one without a link, or one that took more than ``worth`` pairs a link. All pairs of different
+    components that are left are then searched, in every case, so the number of passes changes only the cost.
     """
     tried = cut(star_pairs(buckets), f"{label}-pairs")
     found = links(tried, False)
     groups = cut(connected_components(found, "a", "b"), f"{label}-groups")
-    turn, done = 0, False
+    turn, done, latest = 0, False, tried
     while not done:
         members = cut(open_buckets(buckets, groups), f"{label}-open")
         work, rows = crossing_work(members)
         if not work:
             break
-        done = work <= partners * rows or turn >= RESEEDS or found.isEmpty()
-        pairs = crossing_pairs(members, *admitted(members)) if done else reseeded_pairs(members, turn)
+        done = work <= partners * rows or turn >= RESEEDS or found.isEmpty() or bool(worth) and worth * found.count() < latest.count()
+        pairs = complete(members) if done else reseeded_pairs(members, turn)
         fresh = cut(pairs.join(tried, ["a", "b"], "left_anti"), f"{label}-fresh")
         drop(members)
         found = links(fresh, done)
@@ -152,7 +159,7 @@ def search(buckets: DataFrame, links, admitted, partners: int, label: str) -> Da
             groups = cut(connected_components(joined, "a", "b"), f"{label}-groups")
         if not done:
             tried = tried.unionAll(fresh)
-        turn += 1
+        turn, latest = turn + 1, fresh
     return groups
 
 

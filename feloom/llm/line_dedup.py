@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop, map_arrow
-from .graph import only_listed, search
+from .graph import crossing_pairs, only_listed, search
 from .textarrays import Texts, mix, pieces
 
 SHINGLE_CHARS = 5
@@ -280,11 +280,11 @@ def line_groups(docs: DataFrame, keyed: DataFrame, owners: DataFrame, percent: i
     asked = buckets.select("id").distinct().join(owners.select("id", "line", "twin", "owner"), "id")
     texts = cut(texts_of(docs, cut(asked, "asked-lines")), "line-texts")
 
-    def admitted(members: DataFrame):
+    def complete(members: DataFrame) -> DataFrame:
         some = texts.join(members.select("id").distinct(), "id", "left_semi")
-        return set_facts(some), lambda l, r: _possible(l, r, percent)
+        return crossing_pairs(members, set_facts(some), lambda l, r: _possible(l, r, percent))
 
-    groups = search(buckets, lambda pairs, _: verified_links(texts, pairs, percent), admitted, CROSSING_WORK, "line")
+    groups = search(buckets, lambda pairs, _: verified_links(texts, pairs, percent), complete, CROSSING_WORK, "line")
     drop(texts)
     return groups
 

@@ -9,8 +9,10 @@ keys of candidate buckets; the collision-corrected Jaccard estimate of the
 registers discards what is far from the threshold; what remains is confirmed on
 the full sets. Confirmed links are joined to components.
 
-Buckets are searched as :func:`graph.search` says; the condition of its complete
-search reads four bits of each register, so only pairs that may be links become rows.
+Buckets are searched as :func:`graph.search` says. Its complete search takes the sets of all
+classes in open buckets, orders their shingles from rare to frequent and lets those meet that share
+a shingle of their first ones (:func:`prefix_pairs`): a passage that many texts
+have brings no pairs. The condition reads places and four bits of each register, so only pairs that may be links become rows.
 
 Candidate recall: two sets of similarity J share a band with probability
 1 - (1 - J**8)**32, that is 0.99996 at 0.85 and more above.
@@ -22,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop, map_arrow
-from .graph import only_listed, search
+from .graph import met_in_cells, only_listed, search
 from .textarrays import mix, pieces, shingle_sets
 
 BUCKETS, ROWS, MANTISSA = 256, 8, 10
@@ -35,6 +37,8 @@ SHINGLE = 5
 SIGMAS = 4.0
 #: Partners left to a member on average from which it meets newly drawn ones before the complete search.
 CROSSING_WORK = 64
+#: Compared pairs a link beyond which newly drawn partners are not worth their cost.
+WORTH = 8
 
 
 def registers(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -187,9 +191,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both, run, "a long, b long")
 
 
-def _full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``id, shingles``: the whole sorted set of each class that occurs in ``pairs``."""
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+def _full_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, shingles``: the whole sorted set of each class in ``ids`` (``id``, distinct)."""
     asked = cut(ids.join(classes.select("id", "owner", "of_text"), "id"), "asked")
     candidates = only_listed(docs.select(F.col("doc_id").cast("long").alias("owner"), "text"), asked, "owner")
     texts = candidates.withColumn("of_text", F.xxhash64("text")).join(asked.hint("merge"), ["owner", "of_text"]).select("id", "text")
@@ -204,6 +207,56 @@ def _full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFra
     return map_arrow(texts, run, "id long, shingles binary")
 
 
+#: Shingles that :func:`_shingle_rows` gives in one batch (more only if one set alone has more).
+BATCH = 1 << 18
+
+
+def _shingle_rows(sets: DataFrame) -> DataFrame:
+    """``key, id, n``: a row for each shingle of each set of :func:`_full_sets`, with the size of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, raw = batch.column(0).to_numpy(), batch.column(1)
+            n = np.array([len(x.as_buffer()) // 8 for x in raw], np.int64)
+            at = 0
+            while at < len(n):
+                end = at + max(1, int(np.searchsorted(np.cumsum(n[at:]), BATCH, "right")))
+                values = np.frombuffer(b"".join(x.as_py() for x in raw[at:end]), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.repeat(ids[at:end], n[at:end])), pa.array(np.repeat(n[at:end], n[at:end]))], ["key", "id", "n"])
+                at = end
+
+    return map_arrow(sets, run, "key long, id long, n long")
+
+
+def prefix_pairs(docs: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes in ``members`` (``id, component``) of different components that may be linked, without a miss but for
+    what the registers' limit discards.
+
+    Shingles are ordered by the number of sets that have them, then by hash. Linked sets have at least ``percent`` of
+    the larger one in common, so their first common shingle is among the first ``n - ceil(percent * n / 100) + 1`` of both;
+    what follows its places bounds what they have in common. Shingles of one set alone only count as places.
+    """
+    known = cut(members.select("id", "component").distinct(), "open-classes")
+    sets = cut(_full_sets(docs, classes, known.select("id")), "open-sets")
+    rows = cut(_shingle_rows(sets), "open-shingles")
+    drop(sets)
+    shared = rows.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    whole = Window.partitionBy("id")
+    place = F.col("n") - F.count("*").over(whole) + F.row_number().over(whole.orderBy("often", "key"))
+    first = rows.join(shared, "key").withColumn("place", place).where(f"place <= n - (({percent} * n + 99) div 100) + 1")
+    first = cut(first.join(known, "id").select("key", "id", "component", "place"), "prefixes")
+    drop(rows)
+    mixed = first.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("g")).where("lo < hi").select("key", "g")
+    full = first.join(mixed, "key").join(compact(classes, percent), "id")
+
+    def possible(l: str, r: str):
+        nl, nr = F.col(f"{l}.n_shingles"), F.col(f"{r}.n_shingles")
+        common = F.least(nl - F.col(f"{l}.place"), nr - F.col(f"{r}.place")) + 1
+        return ((100 + percent) * common >= percent * (nl + nr)) & _possible(l, r, percent)
+
+    return met_in_cells(full, possible).distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a, b = (sets.select(F.col("id").alias(s), F.col("shingles").alias(f"s{s}")) for s in "ab")
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
@@ -243,15 +296,16 @@ def near_groups(docs: DataFrame, percent: int) -> DataFrame:
 
     def links(pairs: DataFrame, estimated: bool) -> DataFrame:
         likely = pairs if estimated else cut(_likely(pairs, classes, percent), "likely")
-        sets = cut(_full_sets(docs, classes, likely), "sets")
+        ids = likely.select(F.col("a").alias("id")).unionAll(likely.select(F.col("b").alias("id"))).distinct()
+        sets = cut(_full_sets(docs, classes, ids), "sets")
         confirmed = cut(_confirmed(likely, sets, percent), "links")
         drop(sets)
         return confirmed
 
-    def admitted(members: DataFrame):
-        return compact(classes, percent), lambda l, r: _possible(l, r, percent)
+    def complete(members: DataFrame) -> DataFrame:
+        return prefix_pairs(docs, classes, members, percent)
 
-    groups = search(buckets, links, admitted, CROSSING_WORK, "near")
+    groups = search(buckets, links, complete, CROSSING_WORK, "near", WORTH)
     drop(buckets)
     placed = owners.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = cut(placed, "placed")

@@ -89,6 +89,45 @@ def test_forced_rounds(spark, copies, monkeypatch):
     assert got == components({k: shingles(t) for k, t in copies.items()}, 85)
 
 
+def test_a_common_passage_brings_no_pairs(spark, monkeypatch):
+    """Texts that share a frequent passage, but are not alike, are neither drawn again nor paired by it; links are all found."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = {i: passage + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(rng.choice([14, 15, 16]))) for i in range(120)}
+    for g in range(5):
+        base = [f"g{g}v{i}" for i in range(100)]
+        texts |= {1000 + 10 * g + k: edited(rng, base, 1) for k in range(4)}
+    redrawn, pairs = [], []
+    reseeded, last = graph.reseeded_pairs, near_dedup.prefix_pairs
+    monkeypatch.setattr(near_dedup, "CROSSING_WORK", 0)
+    monkeypatch.setattr(graph, "reseeded_pairs", lambda *a: redrawn.append(a) or reseeded(*a))
+    monkeypatch.setattr(near_dedup, "prefix_pairs", lambda *a: pairs.append(common.cut(last(*a), "test")) or pairs[-1])
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == components({k: shingles(t) for k, t in texts.items()}, 85)
+    assert not redrawn and pairs and sum(p.count() for p in pairs) < 50  # of 7140 pairs that share the passage
+
+
+def test_first_shingles_find_every_link(spark, copies, monkeypatch):
+    """The complete search alone, without any pair before it, in blocks of three."""
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    found = []
+    last = near_dedup.prefix_pairs
+
+    def alone(docs, classes, members, percent):
+        every = classes.select("id", F.col("id").alias("component"))
+        found.append((classes.select("id", "owner").collect(), last(docs, classes, every, percent).collect()))
+        return last(docs, classes, members, percent)
+
+    monkeypatch.setattr(near_dedup, "prefix_pairs", alone)
+    near_dedup.near_duplicates(spark.createDataFrame(list(copies.items()), "doc_id long, text string")).collect()
+    classes, pairs = found[0]
+    of, sets = {r.id: r.owner for r in classes}, {r.id: shingles(copies[r.owner]) for r in classes}
+    met = {(r.a, r.b) for r in pairs}
+    assert len(met) == len(pairs) and all(a < b for a, b in met)
+    linked = {(min(a, b), max(a, b)) for a in of for b in of if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert len(linked) > 50 and linked <= met
+
+
 def test_near_duplicates_odd(spark, odd, nothing):
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(odd).collect()]
     assert len(got) == odd.count()
