@@ -61,19 +61,28 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
     return buckets.join(least, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
+def mixed_keys(members: DataFrame) -> DataFrame:
+    """What :func:`crossing_work` and :func:`met_in_cells` read of each key (``key, id, component``) that holds more than one component.
+
+    ``g``: members of the key; ``own``: the sum of squares of its components' members; ``top``: its largest component; ``few``: the members outside it.
+    """
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    square = F.sum(F.col("n").cast("double") * F.col("n")).alias("own")
+    by_key = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("g"), square, F.max(F.struct("n", "component")).alias("most"))
+    return by_key.where("parts > 1").select("key", "g", "own", F.col("most.component").alias("top"), (F.col("g") - F.col("most.n")).alias("few"))
+
+
 def open_buckets(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """Members of the buckets that still hold more than one component: ``key, id, component, g`` (bucket size)."""
+    """Members of the buckets that still hold more than one component: ``key, id, component`` and what :func:`mixed_keys` gives."""
     named = buckets.join(components.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("g")).where("lo < hi").select("key", "g")
-    return named.join(mixed, "key")
+    return named.join(mixed_keys(named), "key")
 
 
 def crossing_work(members: DataFrame) -> tuple[int, int]:
     """How many pairs of open buckets lie in different components, and the members of open buckets."""
-    parts = members.groupBy("key", "component").count()
-    by_key = parts.groupBy("key").agg(F.sum("count").alias("g"), F.sum(F.col("count").cast("double") * F.col("count")).alias("own"))
-    work, rows = by_key.agg(F.sum(F.col("g").cast("double") * F.col("g") - F.col("own")) / 2, F.sum("g")).first()
-    return int(work or 0), int(rows or 0)
+    g = F.col("g").cast("double")
+    work, rows = members.agg(F.sum((g * g - F.col("own")) / g) / 2, F.count("*")).first()
+    return round(work or 0), rows
 
 
 #: Members that are drawn from each open bucket in one pass.
@@ -97,20 +106,24 @@ BLOCK = 2000
 def met_in_cells(full: DataFrame, condition) -> DataFrame:
     """``(a, b)`` for each two members of one key that lie in different components and that ``condition(l, r)`` admits.
 
-    ``full`` has ``key, id, component, g`` (members of the key) and what the condition
+    ``full`` has ``key, id, component``, what :func:`mixed_keys` gives of the key, and what the condition
     reads as columns of the aliases ``l`` and ``r``; the condition is part of the join's, so that
-    hopeless pairs are never made into rows. A key of more than ``BLOCK`` members is dealt to
-    blocks, and each two blocks meet in a cell of their own: no task compares more than
-    about ``BLOCK`` squared pairs of a key. A pair is made once for each key it shares.
+    hopeless pairs are never made into rows. ``earlier`` lists keys of the member: a pair that has one of them in common is made there. Of two members in different components one at least is outside the
+    key's largest component, so these alone meet all members: what is linked already is not compared with itself.
+    A key of more than ``BLOCK`` members on a side is dealt to blocks, and each two blocks meet in a
+    cell of their own: no task compares more than about ``BLOCK`` squared pairs of a key.
     """
-    last = F.floor((F.col("g") - 1) / BLOCK).cast("int")
-    full = full.withColumn("block", F.pmod(F.xxhash64("id"), last + 1).cast("int")).withColumn("last", last).drop("g")
-    # a pair of blocks i <= j is one cell; a pair of one block is ordered by component
-    l = full.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", "last"))).alias("l")
-    r = full.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block")))).alias("r")
-    apart = F.when(F.col("l.block") == F.col("r.block"), F.col("l.component") < F.col("r.component")).otherwise(F.col("l.component") != F.col("r.component"))
+    last = lambda n: F.floor((F.col(n) - 1) / BLOCK).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("id"), last(n) + 1).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), last(n)))
+    l = full.where("component <> top").withColumn("i", block("few")).withColumn("j", every("g")).drop("g", "own", "few").alias("l")
+    r = full.withColumn("j", block("g")).withColumn("i", every("few")).drop("g", "own", "few").alias("r")
+    # two members outside the largest component meet once, ordered by component
+    apart = (F.col("l.component") < F.col("r.component")) | ((F.col("r.component") == F.col("r.top")) & (F.col("l.component") != F.col("r.component")))
     cell = (F.col("l.key") == F.col("r.key")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
-    met = l.join(r, cell & apart & condition("l", "r"))
+    # exists, not arrays_overlap: it keeps the join out of whole-stage code, where so long a condition is one method that the JVM only interprets
+    before = F.exists("l.earlier", lambda k: F.array_contains("r.earlier", k))
+    met = l.join(r, cell & apart & condition("l", "r") & ~before)
     return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
 
 
@@ -122,7 +135,7 @@ def crossing_pairs(members: DataFrame, facts: DataFrame, possible) -> DataFrame:
     """
     keys = members.groupBy("id").agg(F.collect_list("key").alias("keys"))
     full = members.join(keys, "id").join(facts, "id").withColumn("earlier", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
-    return met_in_cells(full, lambda l, r: possible(l, r) & ~F.arrays_overlap(f"{l}.earlier", f"{r}.earlier"))
+    return met_in_cells(full, possible)
 
 
 #: Passes with newly drawn partners at most.

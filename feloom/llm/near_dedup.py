@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop, map_arrow
-from .graph import met_in_cells, only_listed, search
+from .graph import met_in_cells, mixed_keys, only_listed, search
 from .textarrays import mix, pieces, shingle_sets
 
 BUCKETS, ROWS, MANTISSA = 256, 8, 10
@@ -228,17 +228,44 @@ def _shingle_rows(sets: DataFrame) -> DataFrame:
     return map_arrow(sets, run, "key long, id long, n long")
 
 
+#: Longs of the bitmap that :func:`parities` makes of a set.
+PARITIES = 16
+
+
+def parities(sets: DataFrame) -> DataFrame:
+    """``id, p0..``: a bitmap whose bits tell whether an odd number of the shingles of a set of :func:`_full_sets` fall on them.
+
+    A bit in which two sets differ needs a shingle that only one has.
+    """
+    names = ["id", *(f"p{i}" for i in range(PARITIES))]
+    bits = 64 * PARITIES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                odd = [np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1 for x in batch.column(1)]
+                words = np.packbits(np.array(odd, np.uint8), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(PARITIES))], names)
+
+    return map_arrow(sets, run, ", ".join(f"{n} long" for n in names))
+
+
+#: First shingles of a set that are remembered, so that a pair which shares several of them is made once.
+KNOWN = 64
+
+
 def prefix_pairs(docs: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes in ``members`` (``id, component``) of different components that may be linked, without a miss but for
     what the registers' limit discards.
 
     Shingles are ordered by the number of sets that have them, then by hash. Linked sets have at least ``percent`` of
     the larger one in common, so their first common shingle is among the first ``n - ceil(percent * n / 100) + 1`` of both;
-    what follows its places bounds what they have in common. Shingles of one set alone only count as places.
+    what follows its places bounds what they have in common. Shingles of one set alone only count as places. Sets whose
+    bitmaps (:func:`parities`) differ in more bits than the similarity leaves to differ are no pair; that loses no link.
     """
     known = cut(members.select("id", "component").distinct(), "open-classes")
     sets = cut(_full_sets(docs, classes, known.select("id")), "open-sets")
-    rows = cut(_shingle_rows(sets), "open-shingles")
+    rows, facts = cut(_shingle_rows(sets), "open-shingles"), cut(parities(sets), "open-facts")
     drop(sets)
     shared = rows.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
     whole = Window.partitionBy("id")
@@ -246,13 +273,18 @@ def prefix_pairs(docs: DataFrame, classes: DataFrame, members: DataFrame, percen
     first = rows.join(shared, "key").withColumn("place", place).where(f"place <= n - (({percent} * n + 99) div 100) + 1")
     first = cut(first.join(known, "id").select("key", "id", "component", "place"), "prefixes")
     drop(rows)
-    mixed = first.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("g")).where("lo < hi").select("key", "g")
-    full = first.join(mixed, "key").join(compact(classes, percent), "id")
+    full = cut(first.join(mixed_keys(first), "key"), "prefixes-open")
+    drop(first)
+    listed = full.where(f"place <= {KNOWN}").groupBy("id").agg(F.collect_list(F.struct("place", "key")).alias("listed"))
+    before = F.transform(F.filter("listed", lambda s: s["place"] < F.col("place")), lambda s: s["key"])
+    full = full.join(listed, "id", "left").withColumn("earlier", F.coalesce(before, F.array().cast("array<long>"))).drop("listed")
+    full = full.join(compact(classes, percent), "id").join(facts, "id")
 
     def possible(l: str, r: str):
         nl, nr = F.col(f"{l}.n_shingles"), F.col(f"{r}.n_shingles")
         common = F.least(nl - F.col(f"{l}.place"), nr - F.col(f"{r}.place")) + 1
-        return ((100 + percent) * common >= percent * (nl + nr)) & _possible(l, r, percent)
+        differ = sum(F.bit_count(F.col(f"{l}.p{i}").bitwiseXOR(F.col(f"{r}.p{i}"))) for i in range(PARITIES))
+        return ((100 + percent) * common >= percent * (nl + nr)) & ((100 + percent) * differ <= (100 - percent) * (nl + nr)) & _possible(l, r, percent)
 
     return met_in_cells(full, possible).distinct()
 

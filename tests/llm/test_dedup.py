@@ -128,6 +128,39 @@ def test_first_shingles_find_every_link(spark, copies, monkeypatch):
     assert len(linked) > 50 and linked <= met
 
 
+def test_near_copies_below_the_threshold_bring_no_pairs(spark, monkeypatch):
+    """Copies of one text with two edits each are at 0.81: only pairs that may be linked become rows, each once."""
+    rng = random.Random(9)
+    base = [f"v{i}" for i in range(200)]
+    texts = {i: edited(rng, base, 2) for i in range(80)}
+    texts |= {100 + i: edited(rng, base[:100], 1) for i in range(6)}
+    every, pairs, last = [], [], near_dedup.prefix_pairs
+    cells = near_dedup.met_in_cells
+    monkeypatch.setattr(near_dedup, "met_in_cells", lambda *a: every.append(common.cut(cells(*a), "test")) or every[-1])
+    monkeypatch.setattr(near_dedup, "prefix_pairs", lambda *a: pairs.append(common.cut(last(*a), "test")) or pairs[-1])
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == components({k: shingles(t) for k, t in texts.items()}, 85)
+    assert pairs and sum(p.count() for p in pairs) == sum(p.count() for p in every) < 300  # of 3160
+
+
+def test_cells_hold_each_crossing_pair_once(spark, monkeypatch):
+    """Members outside a key's largest component meet all others, whatever the blocks."""
+    rng = random.Random(10)
+    of = {i: rng.choice([1, 1, 1, 2, 3, 100 + i]) for i in range(60)}
+    rows = [(key, i, of[i]) for key in range(9) for i in rng.sample(range(60), rng.choice([1, 2, 12, 40]))]
+    groups = spark.createDataFrame([(i, c) for i, c in of.items()], "node long, component long")
+    members = graph.open_buckets(spark.createDataFrame([r[:2] for r in rows], "key long, id long"), groups)
+    at = defaultdict(set)
+    for key, i, _ in rows:
+        at[key].add(i)
+    crossing = {(a, b) for x in at.values() for a in x for b in x if a < b and of[a] != of[b]}
+    assert graph.crossing_work(members) == (sum(of[a] != of[b] for x in at.values() for a in x for b in x if a < b), members.count())
+    for block in (3, 2000):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        met = [tuple(r) for r in graph.crossing_pairs(members, groups.select(F.col("node").alias("id")), lambda l, r: F.lit(True)).collect()]
+        assert len(met) == len(set(met)) and set(met) == crossing
+
+
 def test_near_duplicates_odd(spark, odd, nothing):
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(odd).collect()]
     assert len(got) == odd.count()
