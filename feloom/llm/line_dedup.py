@@ -33,6 +33,7 @@ share the first: they get names of their own. Buckets are searched as :func:`gra
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,12 @@ HUGE, HUGE_RUN, HUGE_STEP = 128, 7, 6
 DENSE, LONG = 80, 200
 PERCENT = 80
 #: Partners left to a member on average from which it meets newly drawn ones before the complete search.
-CROSSING_WORK = 8
+CROSSING_WORK = 64
+#: Compared pairs a link beyond which newly drawn partners are not worth their cost.
+WORTH = 8
 SPACES = " \t\x0b\x0c\r"
+#: Passes in which keys of several lines are found, each over its share of all keys: no more of them are in shuffle files at once.
+PARTS = 2
 #: Bits of a line's first hash that name it (all; fewer in tests of shared names).
 NAME_BITS = -1
 
@@ -274,9 +279,14 @@ def _possible(l: str, r: str, percent: int):
 def line_groups(docs: DataFrame, keyed: DataFrame, owners: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``node, component`` for the lines that are linked with another text; nodes are the ids of :func:`named_lines`."""
     bands = keyed.select(F.explode("keys").alias("key"), "id")
-    shared = cut(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "shared-bands")
+    parts = []
+    for part in range(PARTS):
+        some = bands.where(F.pmod("key", F.lit(PARTS)) == part)
+        parts.append(cut(some.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "shared-bands"))
+    shared = reduce(DataFrame.unionAll, parts)
     buckets = cut(only_listed(bands, shared, "key").join(shared, "key").select("key", "id").distinct(), "line-buckets")
-    drop(shared)
+    for part in parts:
+        drop(part)
     asked = buckets.select("id").distinct().join(owners.select("id", "line", "twin", "owner"), "id")
     texts = cut(texts_of(docs, cut(asked, "asked-lines")), "line-texts")
 
@@ -284,7 +294,7 @@ def line_groups(docs: DataFrame, keyed: DataFrame, owners: DataFrame, percent: i
         some = texts.join(members.select("id").distinct(), "id", "left_semi")
         return crossing_pairs(members, set_facts(some), lambda l, r: _possible(l, r, percent))
 
-    groups = search(buckets, lambda pairs, _: verified_links(texts, pairs, percent), complete, CROSSING_WORK, "line")
+    groups = search(buckets, lambda pairs, _: verified_links(texts, pairs, percent), complete, CROSSING_WORK, "line", WORTH)
     drop(texts)
     return groups
 

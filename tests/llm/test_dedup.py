@@ -266,6 +266,18 @@ def test_line_links_recalled():
         assert met >= 0.95 * 400, (n, met)
 
 
+def test_similar_lines_are_not_drawn_again(spark, monkeypatch):
+    """Lines that share bands but are not alike go to the complete search at once, and only what may be linked is verified."""
+    rng = random.Random(11)
+    base = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8))) for _ in range(80)]
+    texts = {i: edited(rng, base, rng.choice([4, 5, 6])) for i in range(70)}
+    redrawn, verified, check = [], [], line_dedup.verified_links
+    monkeypatch.setattr(graph, "reseeded_pairs", lambda *a, f=graph.reseeded_pairs: redrawn.append(a) or f(*a))
+    monkeypatch.setattr(line_dedup, "verified_links", lambda t, p, n: verified.append(p.count()) or check(t, p, n))
+    assert deduped(spark, texts) == expected_lines(texts)
+    assert not redrawn and len(verified) == 2 and verified[1] < 400, verified  # of 2415 pairs
+
+
 def test_long_lines_rarely_share_a_band_by_chance():
     """Sets of 400 hashes out of 2000 (similarity 0.11) must not meet, or such pairs grow with the square of the table."""
     rng = np.random.default_rng(8)
