@@ -99,13 +99,17 @@ def broadcast_if_small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> Data
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", parts: int = 16) -> DataFrame:
-    """An equi-join whose hot keys are spread over ``parts`` tasks: the right side is repeated once per salt."""
+    """An equi-join whose hot keys are spread over ``parts`` tasks: the right side is repeated once per salt.
+
+    Always a sort-merge join: the planner's estimate leaves out the repetition, so it would broadcast
+    ``parts`` times more rows than its threshold is meant for, all of them through the driver.
+    """
     if how not in SALTABLE:
         raise ValueError(f"a salted join can't be {how}")
     salt = F.pmod(F.xxhash64(row_hash(left, [c for c in left.columns if c not in on]), F.monotonically_increasing_id()), F.lit(parts)).cast("int")
     salted = left.withColumn("_salt", salt)
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return salted.join(repeated.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def configured_join(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str = "inner", kind: str = "regular", salt_parts: int = 16) -> DataFrame:

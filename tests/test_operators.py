@@ -36,6 +36,17 @@ def test_salted_join(spark, how):
         joins.salted_join(left, right, ["k"], "full_outer")
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_broadcasts_nothing(spark, how):
+    """The repeated side isn't broadcast, however small the planner thinks it is, also after adaptive execution has seen its size."""
+    left, right = spark.range(1000).withColumnRenamed("id", "k"), spark.range(10).select(F.col("id").alias("k"), F.lit("a").alias("w"))
+    made = joins.salted_join(left, right, ["k"], how, 4)
+    assert made.count() == (990 if how == "left_anti" else 1000 if how == "left" else 10)
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_join_filter(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "a"), (3, None)], "x int, y string")
     assert rows(joins.join_filter(df, [{"x": 1, "y": "a"}, {"x": None, "y": "a"}])) == [(None, "a"), (1, "a")]
