@@ -718,7 +718,8 @@ def export_features(spark, sf):
     from .plans import exports
 
     rows = load(spark, sf, "events").where("event_type in ('click', 'view')").withColumn("k", F.when(F.col("event_type") == "click", "1").otherwise("2"))
-    sums = rows.groupBy("user_id", "k").agg(F.round(F.sum("value")).alias("v"))
+    # in the events' order, since rounding shows the order of sums at halves; as decimals, since doubles print 1.0E7
+    sums = agg.ordered_sums(rows, ["user_id", "k"], "value", ["event_id"], "v").withColumn("v", F.round("v").cast("decimal(20,1)"))
     user = to_user(F.col("user_id").cast("string"), F.when(F.col("user_id") % 2 == 0, "VKID").otherwise("OKID"), {"VKID": ("dec", "vk:"), "OKID": ("dec", "ok:")})
     maps = sums.groupBy("user_id").agg(agg.map_collect("k", "v").alias("m")).withColumn("uid", user)
     return exports.export_features(maps, {"m": "gmax(m)"}, users_from_types=False)

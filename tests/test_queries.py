@@ -1,5 +1,7 @@
 """Every catalogue query runs, and equals its DuckDB form where there is one."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -52,6 +54,35 @@ def test_combine_features_takes_users_of_all_orders(spark, tmp_path):
     assert got == sorted(con.execute(ORACLES["combine_features"]).fetchall())
 
 
+def test_export_features_sums_in_order_of_events(spark, tmp_path):
+    """Sums that end at a half round as in SQL, which adds in the events' order, however the rows are split."""
+    rnd = random.Random(3)
+    events = []
+    for user in range(400):
+        cents = [rnd.randrange(1, 12_000) for _ in range(11)]
+        cents.append(100 + (50 - sum(cents)) % 100)
+        events += [(user, "click" if user % 3 else "view", c / 100) for c in cents]
+    rows = [(i, *e) for i, e in enumerate(sorted(events, key=lambda e: rnd.random()))]
+    whole, split = tmp_path / "whole", tmp_path / "split"
+    schema = "event_id long, user_id long, event_type string, value double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{whole}/events.parquet")
+    for part in range(5):
+        spark.createDataFrame(rows[part::5][::-1], schema).coalesce(1).write.mode("append").parquet(f"{split}/events.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{whole}/events.parquet/*.parquet')")
+    expected = sorted(con.execute(ORACLES["export_features"]).fetchall())
+    assert len(expected) == 400
+    for place in (whole, split):
+        got = QUERIES["export_features"](spark, str(place)).select("user", "`num:m`")
+        assert sorted(map(tuple, got.collect())) == expected
+
+
+def test_export_features_writes_large_sums_in_full(spark, tmp_path):
+    spark.createDataFrame([(i, 2, "view", 5e6 + i) for i in range(9)], "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert tuple(QUERIES["export_features"](spark, str(tmp_path)).first()) == ("vk:2", "2:45000036.0")
+
+
 def test_entry(spark):
     import __spark_entry__
 
